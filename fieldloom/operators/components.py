@@ -28,8 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = cur.select(*pair("u", "v")).unionAll(cur.select(*pair("v", "u")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # every edge (u, v) with v > u now hangs v under the least neighbour of u; the least neighbours keep their own edge
-        large = large.unionAll(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
