@@ -7,11 +7,12 @@ from fieldloom.llm.licenses import op10_licenses
 from fieldloom.llm.minhash import op9_minhash
 from fieldloom.llm.mixing import op4_mixing
 from fieldloom.llm.packing import op1_packing
+from fieldloom.llm.quality import op6_quality
 from fieldloom.llm.secrets import op8_secrets
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op4_mixing, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op4_mixing, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
