@@ -9,10 +9,11 @@ from fieldloom.llm.mixing import op4_mixing
 from fieldloom.llm.packing import op1_packing
 from fieldloom.llm.quality import op6_quality
 from fieldloom.llm.secrets import op8_secrets
+from fieldloom.llm.suffix_tree import op5_suffix_tree
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op4_mixing, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op4_mixing, op5_suffix_tree, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
