@@ -30,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -112,28 +111,47 @@ def _surprise(model: Model, language: str) -> np.ndarray:
     if key not in _DENSE:
         for old in [k for k in _DENSE if k[0] != model.name]:
             del _DENSE[old]
-        p = np.full(1, 1.0 / SYMBOLS, dtype=np.float64)
+        p = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
         for n in range(1, model.order + 1):
             grams, weights, contexts, back = model.parts.value[language][n]
-            gamma = np.ones(SYMBOLS ** (n - 1))
+            gamma = np.ones(SYMBOLS ** (n - 1), dtype=np.float32)
             gamma[contexts] = back
             shorter = np.tile(p, SYMBOLS ** (n - 1)) if n == 1 else np.tile(p, SYMBOLS)
             p = np.repeat(gamma, SYMBOLS) * (shorter if n > 1 else np.repeat(shorter, SYMBOLS))
-            p[grams] += weights
-        _DENSE[key] = -np.log2(p).astype(np.float32)
+            p[grams] += weights.astype(np.float32)
+        _DENSE[key] = -np.log2(p)
     return _DENSE[key]
 
 
+#: Characters whose n-grams are gathered before they are counted.
+GATHER = 1 << 19
+
+
 def _counted(order: int):
+    """Counts of a task's n-grams, in one array of all possible n-grams for each language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+
+        def count(lang: str) -> None:
+            codes = waiting.pop(lang, [])
+            if codes:
+                g, n = np.unique(np.concatenate(codes), return_counts=True)
+                counts.setdefault(lang, np.zeros(SYMBOLS**order, np.int32))[g] += n.astype(np.int32)
+
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
+                codes = gram_codes(text.as_py(), order)
                 for x in {lang, ""}:
-                    by.setdefault(x, []).append(gram_codes(text, order))
-            for lang, codes in by.items():
-                g, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "c"])
+                    waiting.setdefault(x, []).append(codes)
+                    if sum(map(len, waiting[x])) > GATHER:
+                        count(x)
+        for lang in [*waiting]:
+            count(lang)
+        for lang, n in counts.items():
+            g = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n[g].astype(np.int64))], names=["lang", "gram", "c"])
 
     return run
 
@@ -162,18 +180,23 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
     return Model(uuid.uuid4().hex, order, sorted(by), spark.sparkContext.broadcast(by))
 
 
+_SCORE = pa.struct([("bits", pa.float64()), ("chars", pa.int64()), ("repeats", pa.float64())])
+
+
 def scored(model: Model, lang: Column, text: Column) -> Column:
     """A struct of ``bits`` per character, ``chars`` and ``repeats``."""
 
-    @F.pandas_udf("bits double, chars long, repeats double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("bits double, chars long, repeats double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for langs, texts in batches:
             out = np.zeros((len(texts), 3))
-            for i, (x, t) in enumerate(zip(langs, texts, strict=True)):
+            for i in range(len(texts)):  # one text at a time is a string, not a whole batch
+                t = texts[i].as_py()
                 if t and model.languages:
+                    x = langs[i].as_py()
                     s = _surprise(model, x if x in model.languages else "")
                     out[i] = s[gram_codes(t, model.order)].mean(), len(t), repeats(t)
-            yield pd.DataFrame({"bits": out[:, 0], "chars": out[:, 1].astype(np.int64), "repeats": out[:, 2]})
+            yield pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2])], fields=list(_SCORE))
 
     return run(F.coalesce(lang, F.lit("")), F.coalesce(text, F.lit("")))
 
@@ -183,50 +206,59 @@ class Classifier:
     model: Model
     limits: DataFrame  # (lang, middle, top, most); lang "" holds for all others
 
-    def apply(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-        """Adds ``quality`` to each row: a struct of bits, chars, repeats, limit and kept."""
-        limits = self.limits.select(F.col("lang").alias("__lang"), "middle", "top", "most")
-        known = [r for r in self.model.languages if r]
-        d = docs.withColumn("__q", scored(self.model, F.col(lang_col), F.col(text_col)))
-        key = F.when(F.col(lang_col).isin(*known), F.col(lang_col)).otherwise(F.lit("")) if known else F.lit("")
-        d = d.withColumn("__key", key).join(F.broadcast(limits), F.col("__key") == F.col("__lang"), "left")
-        wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SHORT)) / F.greatest(F.lit(1), F.col("__q.chars"))))
+    def score(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+        """Adds the struct ``scored`` to each row."""
+        return docs.select(*[docs[c] for c in docs.columns], scored(self.model, F.col(lang_col), F.col(text_col)).alias("scored"))
+
+    def decide(self, rows: DataFrame, lang_col: str = "lang") -> DataFrame:
+        """Turns the struct ``scored`` into ``quality``, with the limit and the decision."""
+        limits = F.broadcast(self.limits.select(F.col("lang").alias("__lang"), "middle", "top", "most"))  # one row per model
+        d = rows.withColumn("__key", _model_of(lang_col, self.model.languages)).join(limits, F.col("__key") == F.col("__lang"), "left")
+        wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SHORT)) / F.greatest(F.lit(1), F.col("scored.chars"))))
         limit = F.col("middle") + MARGIN * (F.col("top") - F.col("middle")) * wide
-        kept = F.coalesce((F.col("__q.bits") <= limit) & ((F.col("__q.repeats") <= F.col("most")) | (F.col("__q.chars") < 20)), F.lit(True))
-        quality = F.struct(F.col("__q.bits").alias("bits"), F.col("__q.chars").alias("chars"), F.col("__q.repeats").alias("repeats"), limit.alias("limit"), kept.alias("kept"))
-        return d.withColumn("quality", quality).select(*[docs[c] for c in docs.columns], "quality")
+        kept = F.coalesce((F.col("scored.bits") <= limit) & ((F.col("scored.repeats") <= F.col("most")) | (F.col("scored.chars") < 20)), F.lit(True))
+        quality = F.struct(F.col("scored.bits").alias("bits"), F.col("scored.chars").alias("chars"), F.col("scored.repeats").alias("repeats"), limit.alias("limit"), kept.alias("kept"))
+        return d.select(*[rows[c] for c in rows.columns if c != "scored"], quality.alias("quality"))
+
+
+def _model_of(lang_col: str, languages: list[str]) -> Column:
+    own = [x for x in languages if x]
+    return F.when(F.col(lang_col).isin(*own), F.col(lang_col)).otherwise(F.lit("")) if own else F.lit("")
+
 
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS, languages: int = LANGUAGES, order: int = ORDER) -> tuple[Classifier, DataFrame]:
+    """Learn from documents ``(doc_id, lang, text)`` whose label ``(doc_id, quality)`` is 1.
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS, languages: int = LANGUAGES, order: int = ORDER) -> Classifier:
-    """Learn from documents ``(doc_id, lang, text)`` whose label ``(doc_id, quality)`` is 1."""
+    Returns the classifier and ``(doc_id, lang, scored)`` of all rows, which the limits came from.
+    """
     good = labels.where("quality = 1").select("doc_id").distinct()
     meta = docs.select("doc_id", "lang").join(good, "doc_id")
     own = meta.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    own = [r["lang"] for r in own.collect()]
-    key = F.when(F.col("lang").isin(*own), F.col("lang")).otherwise(F.lit("")) if own else F.lit("")
+    key = _model_of("lang", [r["lang"] for r in own.collect()])
     meta = meta.select("doc_id", key.alias("lang")).distinct()
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = saved(meta.withColumn("no", F.row_number().over(least)).where(F.col("no") <= train_docs).select("doc_id", "lang"), "sample")
     # bounded by train_docs for each of at most languages + 1 models
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("lang", "text")
     model = train(texts, order)
-    scores = docs.select("doc_id", key.alias("lang"), scored(model, key, F.col("text")).alias("q"))
+    rows = saved(docs.select("doc_id", "lang", scored(model, F.col("lang"), F.col("text")).alias("scored")), "scored")
     # every trusted document but those that the model has seen; where it has seen all, those
-    judged = scores.join(good, "doc_id").join(sample.select("doc_id", F.lit(True).alias("seen")).distinct(), "doc_id", "left").where(f"q.chars >= {SHORT}")
-    at = lambda q, w: F.percentile_approx(F.when(w, F.col("q.bits")), q, 10000)
+    seen = F.broadcast(sample.select("doc_id", F.lit(True).alias("seen")).distinct())
+    judged = rows.select("doc_id", _model_of("lang", model.languages).alias("lang"), "scored").join(good, "doc_id").join(seen, "doc_id", "left").where(f"scored.chars >= {SHORT}")
+    at = lambda q, w: F.percentile_approx(F.when(w, F.col("scored.bits")), q, 10000)
     new, every = F.col("seen").isNull(), F.lit(True)
     both = judged.unionByName(judged.where(F.col("lang") != "").withColumn("lang", F.lit("")))
     limits = both.groupBy("lang").agg(
         F.coalesce(at(0.5, new), at(0.5, every)).alias("middle"),
         F.coalesce(at(quantile, new), at(quantile, every)).alias("top"),
-        F.greatest(F.lit(REPEATS), F.percentile_approx("q.repeats", quantile, 10000)).alias("most"),
+        F.greatest(F.lit(REPEATS), F.percentile_approx("scored.repeats", quantile, 10000)).alias("most"),
     )
-    return Classifier(model, saved(limits, "limits"))
+    return Classifier(model, saved(limits, "limits")), rows
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity, its limit and the decision for each document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    c = fit(docs, read(spark, sf_dir, "labels"))
-    q = c.apply(docs)
+    c, rows = fit(docs, read(spark, sf_dir, "labels"))
+    q = c.decide(rows)
     return q.select("doc_id", "lang", "quality.bits", F.pow(F.lit(2.0), "quality.bits").alias("perplexity"), "quality.repeats", "quality.limit", "quality.kept")
