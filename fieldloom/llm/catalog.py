@@ -6,6 +6,7 @@ from fieldloom.llm.chat import OP7_SQL, op7_chat
 from fieldloom.llm.licenses import op10_licenses
 from fieldloom.llm.minhash import op9_minhash
 from fieldloom.llm.mixing import op4_mixing
+from fieldloom.llm.nn_descent import op3_nn_descent
 from fieldloom.llm.packing import op1_packing
 from fieldloom.llm.posting_lists import op2_posting_lists
 from fieldloom.llm.quality import op6_quality
@@ -14,7 +15,7 @@ from fieldloom.llm.suffix_tree import op5_suffix_tree
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_posting_lists, op4_mixing, op5_suffix_tree, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_posting_lists, op3_nn_descent, op4_mixing, op5_suffix_tree, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
