@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from fieldloom.llm.chat import OP7_SQL, op7_chat
 from fieldloom.llm.licenses import op10_licenses
 from fieldloom.llm.minhash import op9_minhash
@@ -15,7 +16,7 @@ from fieldloom.llm.suffix_tree import op5_suffix_tree
 
 
 def queries():
-    return {f.__name__: f for f in (op1_packing, op2_posting_lists, op3_nn_descent, op4_mixing, op5_suffix_tree, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_packing, op2_posting_lists, op3_nn_descent, op4_mixing, op5_suffix_tree, op6_quality, op7_chat, op8_secrets, op9_minhash, op10_licenses)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,20 +32,20 @@ def running_offset(df: DataFrame, group: list[str], weight: str, order: list[str
     """
     n = 1 << max(0, (max(1, rows) // BUCKET_ROWS).bit_length())
     h = F.xxhash64(F.lit(20260101), *order)
-    df = df.withColumn("__h", h).withColumn("__b", F.pmod(F.shiftright("__h", 20), F.lit(n)).cast("int"))
-    sums = df.groupBy(*group, "__b").agg(F.sum(weight).alias("__w"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__base", F.coalesce(F.sum("__w").over(before), F.lit(0)).cast("long")).drop("__w")
-    keys = [*group, "__b"]
-    right = sums.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], "__base")
-    on = [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]
+    df = df.withColumn("__ro_h", h).withColumn("__ro_b", F.pmod(F.shiftright("__ro_h", 20), F.lit(n)).cast("int"))
+    sums = df.groupBy(*group, "__ro_b").agg(F.sum(weight).alias("__ro_w"))
+    before = Window.partitionBy(*group).orderBy("__ro_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__ro_base", F.coalesce(F.sum("__ro_w").over(before), F.lit(0)).cast("long")).drop("__ro_w")
+    keys = [*group, "__ro_b"]
+    right = sums.select(*[F.col(k).alias(f"__ro_r{i}") for i, k in enumerate(keys)], "__ro_base")
+    on = [F.col(k).eqNullSafe(F.col(f"__ro_r{i}")) for i, k in enumerate(keys)]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
-    inside = Window.partitionBy(*keys).orderBy("__h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy("__ro_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(right, cond)
-        .drop(*[f"__r{i}" for i in range(len(keys))])
-        .withColumn(out, F.col("__base") + F.coalesce(F.sum(weight).over(inside), F.lit(0)).cast("long"))
-        .drop("__h", "__b", "__base")
+        .drop(*[f"__ro_r{i}" for i in range(len(keys))])
+        .withColumn(out, F.col("__ro_base") + F.coalesce(F.sum(weight).over(inside), F.lit(0)).cast("long"))
+        .drop("__ro_h", "__ro_b", "__ro_base")
     )

@@ -78,16 +78,17 @@ def schedule(spark: SparkSession, quotas: DataFrame, block_tokens: int = BLOCK_T
     return ranked.unionByName(short).join(q.select("no", "source"), "no").select("slot", "source", "rank")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, ratio: float = RATIO, most: float = MOST, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, ratio: float = RATIO, most: float = MOST, block_tokens: int = BLOCK_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where the mix takes tokens of each document.
 
     Returns a row for each part of a document that falls into a block, and
     at least one for each document: ``doc_id, source, size, source_size,
-    target, position`` (of the document in its source's stream), ``slot``
-    (null: not taken), ``start`` and ``stop`` (tokens of the document).
+    target, position`` (of the document in its source's stream), ``pass``,
+    ``slot`` (null: not taken), ``start`` and ``stop`` (tokens of the document),
+    and the columns of ``keep``.
     """
     spark = docs.sparkSession
-    sizes = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_of(text_col).alias("size")), "sizes")
+    sizes = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_of(text_col).alias("size"), *keep), "sizes")
     share = saved(targets(sizes, weights, ratio, most).withColumn("quota", F.least(F.round("target"), most * F.col("source_size")).cast("long")), "targets")
     placed = running_offset(sizes, ["source"], "size", ["doc_id", "size"], sizes.count(), "position")
     placed = placed.join(share.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -99,7 +100,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     part = part.withColumn("start", F.greatest(F.col("at"), F.col("block") * block_tokens) - F.col("at")).withColumn("stop", F.least(F.col("end"), (F.col("block") + 1) * block_tokens) - F.col("at"))
     slots = schedule(spark, share.select("source", "quota"), block_tokens).withColumnRenamed("source", "__s")
     hit = part.join(slots, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("rank")), "left")
-    return hit.select("doc_id", "source", "size", "source_size", "target", "position", "slot", "start", "stop", F.col("pass").cast("int").alias("pass"))
+    return hit.select("doc_id", "source", "size", "source_size", "target", "position", "slot", "start", "stop", F.col("pass").cast("int").alias("pass"), *keep)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents of the same columns: a row for each pass over a document, cut to the words that are taken.
+
+    A document that the mix takes twice is there twice. A part of a document
+    is its words with single spaces between them. ``n_chars`` is that of the
+    text of the row.
+    """
+    own = docs.withColumn("__h", F.xxhash64("text"))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__k"), F.coalesce("source", F.lit("\0")).alias("__s"), F.col("__h")]
+    same = Window.partitionBy("__k", "__s", "__h")
+    parts = mix(own, keep=("__h",), **options).where("slot IS NOT NULL")
+    parts = parts.groupBy("doc_id", "source", "__h", "size", "position", "pass").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    takes = F.collect_list(F.struct("pass", "size", "start", "stop")).alias("takes")  # as many as there are passes
+    parts = parts.groupBy("doc_id", "source", "__h", "position").agg(takes)
+    # rows that are equal in all may swap places
+    parts = parts.select(*key, "position", "takes").withColumn("__n", F.row_number().over(same.orderBy("position"))).drop("position")
+    rows = own.select("*", *key[:2]).withColumn("__n", F.row_number().over(same.orderBy(F.lit(0))))
+    rows = rows.join(parts, ["__k", "__s", "__h", "__n"]).withColumn("take", F.explode("takes"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    t = F.col("take")
+    part = F.array_join(F.slice(words, (t["start"] + 1).cast("int"), (t["stop"] - t["start"]).cast("int")), " ")
+    rows = rows.withColumn("text", F.when(t["stop"] - t["start"] == t["size"], F.col("text")).otherwise(part))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import read
@@ -110,6 +110,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     return cols.mapInArrow(run, f"{kinds}, findings array<struct<kind:string,start:long,end:long,partner_start:long,partner_end:long>>")
 
 
+def redacted(text: str, scope: int = SCOPE) -> str:
+    """The text with each finding's span replaced by its kind in brackets; spans that overlap become one."""
+    out, at = [], 0
+    for kind, start, end, _, _ in find(text, scope):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(text: Column, scope: int = SCOPE) -> Column:
+    """``redacted`` of a column; null stays null."""
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([None if (t := x.as_py()) is None else redacted(t, scope) for x in b], pa.string())
+
+    return run(text)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of all findings, for each document."""
     f = scan(read(spark, sf_dir, "documents"))
