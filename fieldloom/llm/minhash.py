@@ -15,9 +15,12 @@ documents match if at least ``MATCH`` tokens agree (a pair at a similarity of
 
 Copies count as one: documents of equal sets form a class, and its smallest
 id stands for it. First each posted document is tried against few leaders of
-its lists, which joins large groups without meeting all their pairs. Then all
-pairs of different components that agree in ``MATCH`` tokens are tried. A pair
-is linked by the exact similarity of the full sets only.
+its lists, then against the documents of other components that it agrees with
+best, which joins large groups without meeting all their pairs. At last each
+document outside its list's main component asks for every component with a
+match for it, and its set is held against those of all members, a block at a
+time; one link for each asking document, component and block comes out of it.
+A pair is linked by the exact similarity of the full sets only.
 
 Defined cases: texts that are null or without words have empty sets and link
 with nothing; fewer than five words are one shingle. Rows that share an id
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import keys as K
 from fieldloom.llm.common import read
+from fieldloom.llm.vectors import by_groups, matrix
 from fieldloom.operators.components import connected_components
 from fieldloom.plans.storage import release, saved
 
@@ -45,6 +49,8 @@ PERCENT = 75
 WORDS = 5
 #: Rows of a list that meet in one task.
 BLOCK = 1024
+#: Sets of a component, and asking documents, that meet in one task.
+HELD = 256
 #: Leaders that a document is tried against in a round, and rounds.
 TRIES, ROUNDS = 2, 2
 
@@ -100,17 +106,19 @@ def _sets(words: int):
     return run
 
 
-def _across(match: int, k: int):
-    """Pairs of different components in one list, at the first token of their prefixes that they share.
+def _across(match: int, k: int, best: int):
+    """Matches between components in one list; role 0: documents outside its main component, role 1: a block of all.
 
-    Rows with role 0 are documents outside the list's main component, those with role 1 any of a block of the list.
+    With ``best``, that many of the best matches of each document of role 0;
+    else which documents have a match in which component, the smaller
+    component asking, at the first token of their prefixes that both share.
     """
 
     def pairs(g: pa.Table) -> Iterator[pa.RecordBatch]:
-        col = lambda n: g[n].to_numpy(zero_copy_only=False)
-        role, doc, comp, mask = col("role"), col("doc"), col("comp"), col("mask").view(np.uint64)
-        sig = g["sig"].combine_chunks().flatten().to_numpy().reshape(-1, k)
-        at = np.uint64(int(g["token"][0].as_py()) >> 32)
+        col = lambda n: g[n].to_numpy()
+        role, doc, comp, mask, weight = col("role"), col("doc"), col("comp"), col("mask").view(np.uint64), col("weight")
+        sig = matrix(g["sig"])
+        at = int(g["token"][0].as_py()) >> 32
         a, b = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         if not len(a) or not len(b):
             return
@@ -119,32 +127,55 @@ def _across(match: int, k: int):
         for c in range(k):
             same = sig[a, c][:, None] == sig[b, c][None, :]
             count += same
-            if c < at:
+            if c < at and not best:
                 bit = np.uint64(1) << np.uint64(c)
                 earlier |= same & ((mask[a] & bit) != 0)[:, None] & ((mask[b] & bit) != 0)[None, :]
         good = (count >= match) & ~earlier & (comp[a][:, None] != comp[b][None, :])
+        if best:
+            score = np.where(good, count.astype(np.int64), -1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :best]
+            i, j = np.nonzero(np.take_along_axis(score, top, 1) >= 0)
+            if len(i):
+                j = top[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a][i]), pa.array(doc[b][j]), pa.array(score[i, j])], names=["a", "b", "n"])
+            return
         i, j = np.nonzero(good)
         if len(i):
-            x, y = doc[a][i], doc[b][j]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            x, y = a[i], b[j]
+            less = (weight[x] < weight[y]) | (weight[x] == weight[y]) & (comp[x] < comp[y])
+            asks = np.unique(np.stack([np.where(less, doc[x], doc[y]), np.where(less, comp[y], comp[x])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(asks[0]), pa.array(asks[1]), pa.array(np.zeros(asks.shape[1], np.int64))], names=["a", "b", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not t.num_rows:
-                continue
-            key = [t[n].to_numpy() for n in ("token", "strays", "block")]
-            edge = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
-            cuts = [0, *edge.tolist()]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from pairs(t.slice(lo, hi - lo))
-            rest = t.slice(cuts[-1])
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest)
+    return by_groups(("token", "strays", "block"), pairs)
 
-    return run
+
+def _held_against(percent: int):
+    """Exact links of asking documents (role 0) with a block of a component's members (role 1), one for each."""
+
+    def links(g: pa.Table) -> Iterator[pa.RecordBatch]:
+        role, doc = g["role"].to_numpy(), g["doc"].to_numpy()
+        items = g["items"].combine_chunks()
+        at = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+        flat = items.flatten().to_numpy()
+        members = np.flatnonzero(role == 1)
+        if not len(members):
+            return
+        block = np.concatenate([flat[at[m] : at[m + 1]] for m in members])
+        size = (at[1:] - at[:-1])[members]
+        start = np.cumsum(size) - size
+        a, b = [], []
+        for i in np.flatnonzero(role == 0):
+            own = np.sort(flat[at[i] : at[i + 1]])
+            place = np.minimum(np.searchsorted(own, block), len(own) - 1)
+            both = np.add.reduceat((own[place] == block).astype(np.int64), start)
+            hit = np.flatnonzero((100 * both >= percent * (len(own) + size - both)) & (doc[members] != doc[i]))
+            if len(hit):
+                a.append(doc[i])
+                b.append(doc[members[hit[0]]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return by_groups(("comp", "asked", "block"), links)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,19 +225,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = tries.withColumn("no", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("n"), "lead"))).where(F.col("no") <= TRIES)
         links, comps = _joined(links, _verified(best.select(F.col("doc").alias("a"), F.col("lead").alias("b")), sets, percent), comps)
 
-    p, top = _mixed(posts2, comps)
-    full = p.join(prefix, "doc").join(classes.select("doc", "sig"), "doc").join(top.withColumnRenamed("comp", "main"), "token")
-    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 32).cast("int"))))
-    full = full.select("token", "doc", "comp", bit.alias("mask"), "sig", (F.col("comp") != F.col("main")).alias("stray"))
-    sizes = full.groupBy("token").agg(F.count("*").alias("m"), F.count_if("stray").alias("s"))
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    full = full.join(sizes, "token").withColumn("h", F.xxhash64("doc", "token"))
-    mine = lambda n: F.pmod("h", blocks(n)).cast("int")
-    strays = full.where("stray").select("token", F.lit(0).alias("role"), "doc", "comp", "mask", "sig", mine("s").alias("strays"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("block"))
-    every = full.select("token", F.lit(1).alias("role"), "doc", "comp", "mask", "sig", F.explode(F.sequence(F.lit(0), blocks("s") - 1)).alias("strays"), mine("m").alias("block"))
-    met = strays.unionByName(every).repartition("token", "strays", "block").sortWithinPartitions("token", "strays", "block")
-    cand = saved(met.mapInArrow(_across(match, k), "a long, b long").distinct(), "pairs")
-    links, comps = _joined(links, _verified(cand, sets, percent), comps)
+    near = _met(posts2, comps, prefix, classes).mapInArrow(_across(match, k, TRIES), "a long, b long, n long")
+    near = near.groupBy("a", "b").agg(F.max("n").alias("n"))
+    near = near.withColumn("no", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("no") <= TRIES)
+    links, comps = _joined(links, _verified(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), comps)
+
+    asks = _met(posts2, comps, prefix, classes).mapInArrow(_across(match, k, 0), "a long, b long, n long")
+    asks = saved(asks.select(F.col("a").alias("doc"), F.col("b").alias("comp")).distinct(), "asks")
+    member = prefix.select("doc").join(comps, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("comp"))
+    asked = asks.groupBy("comp").agg(F.count("*").alias("asking"))
+    member = member.join(asked, "comp")
+    size = member.groupBy("comp", "asking").agg(F.count("*").alias("m"))
+    parts = lambda n: F.ceil(F.col(n) / HELD).cast("int")
+    slot = lambda n: F.pmod(F.xxhash64("doc", "comp"), parts(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    asking = asks.join(size, "comp").select("comp", F.lit(0).alias("role"), "doc", slot("asking").alias("asked"), spread("m").alias("block"))
+    members = member.join(size.select("comp", "m"), "comp").select("comp", F.lit(1).alias("role"), "doc", spread("asking").alias("asked"), slot("m").alias("block"))
+    held = asking.unionByName(members).join(sets, "doc").repartition("comp", "asked", "block").sortWithinPartitions("comp", "asked", "block")
+    links, comps = _joined(links, held.mapInArrow(_held_against(percent), "a long, b long"), comps)
 
     linked = classes.select("doc", "first_id").join(comps, F.col("doc") == F.col("node")).select("doc", "first_id", "component")
     least = linked.groupBy("component").agg(F.min("first_id").alias("least"))
@@ -216,6 +252,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _met(posts: DataFrame, comps: DataFrame, prefix: DataFrame, classes: DataFrame) -> DataFrame:
+    """Lists with several components, in blocks: their documents outside the main component, and all."""
+    p, top = _mixed(posts, comps)
+    weight = comps.groupBy("component").agg(F.count("*").alias("weight"))
+    full = p.join(prefix, "doc").join(classes.select("doc", "sig"), "doc").join(top.withColumnRenamed("comp", "main"), "token")
+    full = full.join(weight, F.col("comp") == F.col("component"), "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    bit = F.aggregate("prefix", F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 32).cast("int"))))
+    full = full.select("token", "doc", "comp", "weight", bit.alias("mask"), "sig", (F.col("comp") != F.col("main")).alias("stray"))
+    sizes = p.join(top.withColumnRenamed("comp", "main"), "token").groupBy("token").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("s"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    full = full.join(sizes, "token").withColumn("h", F.xxhash64("doc", "token"))
+    mine = lambda n: F.pmod("h", blocks(n)).cast("int")
+    cols = ["doc", "comp", "weight", "mask", "sig"]
+    strays = full.where("stray").select("token", F.lit(0).alias("role"), *cols, mine("s").alias("strays"), F.explode(F.sequence(F.lit(0), blocks("m") - 1)).alias("block"))
+    every = full.select("token", F.lit(1).alias("role"), *cols, F.explode(F.sequence(F.lit(0), blocks("s") - 1)).alias("strays"), mine("m").alias("block"))
+    return strays.unionByName(every).repartition("token", "strays", "block").sortWithinPartitions("token", "strays", "block")
+
+
 def _mixed(posts: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts with their components of lists with several, and each such list's component of the most documents."""
     p = posts.join(comps, posts["doc"] == comps["node"], "left").select("token", "doc", F.coalesce("component", "doc").alias("comp"))
