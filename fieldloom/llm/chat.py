@@ -51,7 +51,7 @@ def fold(events: DataFrame) -> DataFrame:
     role = F.min_by(F.col("role"), F.struct(F.col("role") == "", F.col("no")))
     kept = F.when((F.col("no") >= F.col("reset")) & (F.col("kind") != "regenerate"), F.struct("no", "text"))
     texts = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"])
-    turns = parts.groupBy("conv_id", "turn").agg(role.alias("role"), F.array_join(texts, "").alias("text"), F.min("seq").alias("opened"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"))
+    turns = parts.groupBy("conv_id", "turn").agg(role.alias("role"), F.array_join(texts, "").alias("text"), F.coalesce(F.max(F.when(F.col("kind") == "message", F.col("seq"))), F.min("seq")).alias("opened"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"))
     # a turn goes if an earlier one of its conversation was regenerated after it was opened
     earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("cut", F.max("redone").over(earlier)).where("cut IS NULL OR opened > cut")
