@@ -54,8 +54,8 @@ WORDS = 5
 BLOCK = 1024
 #: Sets of a component, and asking documents, that meet in one task.
 HELD = 256
-#: Leaders that a document is tried against in a round, and rounds.
-TRIES, ROUNDS = 2, 2
+#: Partners that a document is tried against in a round, and rounds of leaders.
+TRIES, ROUNDS = 2, 1
 
 _MULTIPLY = np.random.default_rng(9).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
