@@ -21,8 +21,8 @@ _BACK = pow(_BASE, -1, 1 << 64)
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 #: Odd factors for the words of a shingle or n-gram, by position.
 FACTORS = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 21
+#: Bytes of text that are worked on at once, so that they stay in cache; a longer text is worked on alone.
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +37,15 @@ from fieldloom.llm import keys as K
 from fieldloom.llm.common import read
 from fieldloom.plans.storage import saved
 
-#: Symbols and contexts must have a share of the training tokens above this; 2**-16 lets a symbol fit 16 bits.
-LEAST = 2.0**-16
+#: Symbols and contexts must have a share of the training tokens above this; 2**-16 and more lets a symbol fit 16 bits.
+LEAST = 2.0**-14
 DEPTH = 3
 DIVERGENCE = 0.02
 STRENGTH = 200.0
 #: Key of the token that ends each text; words have mixed keys, so no word is it but by chance.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Tokens whose keys a task gathers before it counts them.
-GATHER = 1 << 22
+GATHER = 1 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +69,21 @@ class _Counts:
             self.merge()
 
     def merge(self) -> None:
-        if self.raw:
-            u, n = np.unique(np.concatenate(self.raw), return_counts=True)
+        if self.size:
+            new = np.concatenate(self.raw)
             self.raw, self.size = [], 0
-            every = np.concatenate([self.keys, u])
-            self.keys, at = np.unique(every, return_inverse=True)
-            self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
+            new.sort()
+            edge = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            n = np.diff(np.concatenate([edge, [len(new)]]))
+            new = new[edge]
+            if len(self.keys):  # two sorted runs
+                at = np.minimum(np.searchsorted(self.keys, new), len(self.keys) - 1)
+                old = self.keys[at] == new
+                self.n[at[old]] += n[old]
+                spot = np.searchsorted(self.keys, new[~old])
+                self.keys, self.n = np.insert(self.keys, spot, new[~old]), np.insert(self.n, spot, n[~old])
+            else:
+                self.keys, self.n = new, n
 
     def flush(self, least: int = 0) -> Iterator[pa.RecordBatch]:
         self.merge()
@@ -98,6 +108,9 @@ def _counting(keys_of):
     return run
 
 
+_SLOT = np.uint64((1 << 20) - 1)
+
+
 @dataclass
 class Alphabet:
     keys: np.ndarray  # of the words that are symbols, sorted
@@ -105,12 +118,33 @@ class Alphabet:
     total: int
     distinct: int
 
+    def _slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two tables from bits of a key to the symbol that may have it; symbols that share a slot of one have the other."""
+        if not hasattr(self, "_tables"):
+            first, second = np.zeros(1 << 20, np.uint16), np.zeros(1 << 20, np.uint16)
+            number = np.arange(1, len(self.keys) + 1, dtype=np.uint16)
+            first[self.keys & _SLOT] = number
+            lost = first[self.keys & _SLOT] != number
+            second[(self.keys[lost] >> np.uint64(24)) & _SLOT] = number[lost]
+            gone = second[(self.keys[lost] >> np.uint64(24)) & _SLOT] != number[lost]
+            self._tables, self._rest = (first, second), self.keys[lost][gone]
+        return self._tables
+
     def symbols(self, tokens: np.ndarray) -> np.ndarray:
         """1 + the place of each token's key, 0 if rare."""
         if not len(self.keys):
             return np.zeros(len(tokens), np.uint64)
-        i = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
-        return np.where(self.keys[i] == tokens, i + 1, 0).astype(np.uint64)
+        first, second = self._slots()
+        keys = np.concatenate([[np.uint64(0)], self.keys])
+        out = first[tokens & _SLOT]
+        out[keys[out] != tokens] = 0
+        miss = np.flatnonzero(out == 0)
+        again = second[(tokens[miss] >> np.uint64(24)) & _SLOT]
+        again[keys[again] != tokens[miss]] = 0
+        out[miss] = again
+        for k in self._rest:  # the few that have a slot in neither
+            out[tokens == k] = np.searchsorted(self.keys, k) + 1
+        return out.astype(np.uint64)
 
     def base(self, count):
         return (count + 1) / (self.total + self.distinct + 1)
@@ -150,34 +184,32 @@ def learn(texts: DataFrame, least: float = LEAST, depth: int = DEPTH, divergence
     parents = None
     sent = spark.sparkContext.broadcast(alphabet)
     states, moves = [], []
-    inner = None  # contexts one shorter that are frequent; longer ones must end and begin in such
+    end = int(alphabet.symbols(np.array([END]))[0])
+    # contexts of one symbol; RARE is one too. What follows an end is another text
+    ones = np.arange(len(k) + 1)
+    counts = np.concatenate([[total - int(alphabet.counts.sum())], alphabet.counts])
+    frequent = pd.DataFrame({"context": ones, "total": counts})[(counts > least * total) & (ones != end)]
     for d in range(1, depth + 1):
-        known = spark.sparkContext.broadcast(inner)
-
-        def contexts(t: np.ndarray, b: np.ndarray, d=d, known=known) -> np.ndarray:
-            i, c = _steps(sent.value.symbols(t), b, d)
-            if known.value is not None:
-                m = np.uint64((1 << 16 * (d - 1)) - 1)
-                c = c[np.isin(c & m, known.value) & np.isin(c >> np.uint64(16), known.value)]
-            return c
-
-        n_of = texts.mapInArrow(_counting(contexts), "key long, n long").groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > least * total)
-        frequent = n_of.toPandas()  # fewer than 1 / least rows
-        inner = np.sort(frequent["key"].to_numpy(np.int64).view(np.uint64))
-        if not len(inner):
+        if not len(frequent):
             break
-        known_now = spark.sparkContext.broadcast(inner)
+        known = spark.sparkContext.broadcast(np.sort(frequent["context"].to_numpy(np.int64).view(np.uint64)))
 
-        def transitions(t: np.ndarray, b: np.ndarray, d=d, known=known_now) -> np.ndarray:
+        def transitions(t: np.ndarray, b: np.ndarray, d=d, known=known) -> np.ndarray:
             s = sent.value.symbols(t)
             i, c = _steps(s, b, d)
-            good = np.isin(c, known.value)
+            if d == 1:
+                is_known = np.zeros(1 << 16, bool)
+                is_known[known.value] = True
+                good = is_known[c]
+            else:
+                at = np.minimum(np.searchsorted(known.value, c), len(known.value) - 1)
+                good = known.value[at] == c
             return (c[good] << np.uint64(16)) | s[i[good]]
 
         rows = texts.mapInArrow(_counting(transitions), "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
         low16, ctx = F.col("key").bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned("key", 16)
         rows = rows.select(ctx.alias("context"), low16.alias("symbol"), "c")
-        rows = rows.join(F.broadcast(spark.createDataFrame(frequent.rename(columns={"key": "context"}))), "context")
+        rows = rows.join(F.broadcast(spark.createDataFrame(frequent, "context long, total long")), "context")  # fewer than 1 / least rows
         if parents is None:
             rows = rows.join(F.broadcast(suffix), "symbol")  # bounded by the alphabet
         else:
@@ -194,6 +226,9 @@ def learn(texts: DataFrame, least: float = LEAST, depth: int = DEPTH, divergence
         rows = rows.join(mark, "context", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
         parents = rows.select("context", "symbol", F.when(F.col("kept"), F.col("own")).otherwise(F.col("p")).alias("p"))
         moves.append(rows.where("kept").select(F.lit(d).alias("depth"), "context", "symbol", F.log10("own").alias("lp")))
+        # a context and its next symbol are a context of one more; its count is below that of its parts, which are contexts too
+        longer = F.shiftleft("context", 16).bitwiseOR(F.col("symbol"))
+        frequent = rows.where((F.col("c") > least * total) & (F.col("symbol") != end)).select(longer.alias("context"), F.col("c").alias("total")).toPandas()
     table = spark.createDataFrame([], "depth int, context long, symbol long, lp double")
     for m in moves:
         table = table.unionByName(m)
@@ -224,7 +259,12 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ...
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alphabet, _, states = sent.value
         seen: dict[int, list[np.ndarray]] = {}
-        size: dict[int, int] = {}
+        raw: dict[int, int] = {}
+
+        def asks(block: int, u: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(u), 1 << 16):
+                part = u[lo : lo + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part)], names=["block", "key"])
 
         def merged(block: int) -> np.ndarray:
             seen[block] = [np.unique(np.concatenate(seen[block]))]
@@ -237,20 +277,21 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ...
                 for lo, hi in K.chunks(texts[x:y]):
                     t, bounds = tokens(texts[x + lo : x + hi])
                     s = alphabet.symbols(t)
-                    want = [np.unique(t[s == 0])]
-                    want += [np.unique(_asked(d, c, s[i])) for d, i, c, _ in _in_states(states, s, bounds)]
+                    want = [t[s == 0]]
+                    want += [_asked(d, c, s[i]) for d, i, c, _ in _in_states(states, s, bounds)]
                     k = int(blocks[x])
                     seen.setdefault(k, []).extend(want)
-                    size[k] = size.get(k, 0) + sum(map(len, want))
-                    if size[k] > GATHER:
-                        size[k] = len(merged(k)) // 2
+                    raw[k] = raw.get(k, 0) + sum(map(len, want))
+                    if raw[k] > GATHER:
+                        raw[k] = 0
+                        merged(k)
+                    for done in [y for y in seen if y != k]:  # complete but for what a split file repeats
+                        yield from asks(done, merged(done))
+                        del seen[done], raw[done]
         for k in seen:
-            u = merged(k).view(np.int64)
-            for lo in range(0, len(u), 1 << 16):
-                part = u[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part)], names=["block", "key"])
+            yield from asks(k, merged(k))
 
-    asked = rows.select("block", "text").mapInArrow(ask, "block int, key long").distinct()
+    asked = rows.select("block", "text").mapInArrow(ask, "block int, key long")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,15 +300,14 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ...
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b["lp"]], names=["key", "v"])
 
     have = words.select("key", F.col("n").cast("double").alias("v")).unionByName(tree.moves.mapInArrow(numbered, "key long, v double"))
-    answers = asked.join(have, "key").groupBy("block").agg(F.collect_list(F.struct("key", "v")).alias("found"))
+    answers = asked.join(have, "key").select("block", "key", "v")
 
     names = ["n_tokens", "n_known", "base_score", "score"]
 
     def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
         alphabet, rare, states = sent.value
         if right.num_rows:
-            f = right["found"].combine_chunks().flatten()
-            keys, values = f.field("key").to_numpy().view(np.uint64), f.field("v").to_numpy()
+            keys, values = right["key"].to_numpy().view(np.uint64), right["v"].to_numpy()
             order = np.argsort(keys)
             keys, values = keys[order], values[order]
         else:
