@@ -37,8 +37,8 @@ from fieldloom.llm import keys as K
 from fieldloom.llm.common import read
 from fieldloom.plans.storage import saved
 
-#: Symbols and contexts must have a share of the training tokens above this; 2**-16 and more lets a symbol fit 16 bits.
-LEAST = 2.0**-14
+#: Symbols and contexts must have a share of the training tokens above this; 2**-16 lets a symbol fit 16 bits.
+LEAST = 2.0**-16
 DEPTH = 3
 DIVERGENCE = 0.02
 STRENGTH = 200.0
