@@ -204,6 +204,33 @@ def test_nn_descent(spark, vectors):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_nn_descent_links_groups_with_full_lists(spark):
+    rng = np.random.default_rng(8)
+    d = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    at = math.acos(0.967)
+    x = np.concatenate([c + 0.006 * rng.standard_normal((30, 64)) for c in (d[0], d[0] * math.cos(at) + d[1] * math.sin(at))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert (u @ u.T).min() >= 0.95 and (u[:30] @ u[:30].T).min() > (u[:30] @ u[30:].T).max()
+    x = np.concatenate([x, rng.standard_normal((500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
+    assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60))
+    assert sum(got[i]["kept"] for i in range(60)) == 1 and got[0]["measured_recall"] == 1.0
+
+
+def test_nn_descent_audit(spark, monkeypatch):
+    for n in (50_000, 200_000, 50_000_000):
+        met = 0.898 ** nn_descent._depth(n)
+        assert 1 - (1 - met) ** nn_descent._trees_for(n, 0.95) >= 0.975
+    x = np.random.default_rng(9).standard_normal((300, 64))
+    x[7] = x[3] + 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert nn_descent.near_duplicates(df).first()["measured_recall"] == 1.0
+    monkeypatch.setattr(nn_descent, "AUDIT", 4)
+    monkeypatch.setattr(nn_descent, "AUDIT_MOST", 4, raising=False)
+    assert nn_descent.near_duplicates(df).first()["measured_recall"] is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
