@@ -7,18 +7,20 @@ with their contexts' totals and discounts give the model. As there are
 ``SYMBOLS`` classes, a model has at most SYMBOLS ** ORDER numbers, whatever the
 corpus, and is sent to all tasks. A document's score is its mean surprise in
 bits per character; it is rejected above a quantile of its language's trusted
-documents that the model was not trained on. Likely words said again and
+documents that no model was trained on. Likely words said again and
 again surprise no n-gram model, so the share of words that repeat the word
 before is held against a quantile in the same way.
 
-Training takes at most ``TRAIN_DOCS`` documents per language, those with the
-least hashes; thresholds come from all trusted documents. The ``LANGUAGES``
-languages with the most trusted documents have models of their own; all
-others, and nulls, share one model trained on trusted text of any language.
+One of ``HOLD`` trusted documents is held out; of the others, training takes at
+most ``TRAIN_DOCS`` per language, those with the least hashes. Every language
+with ``LEAST`` long trusted texts that were not trained on has a limit of its
+own, and the ``LANGUAGES`` with the most trusted documents of them have a model
+of their own too. All others, and nulls, share one model trained on trusted
+text of any language, and one limit of that model's scores.
 
 Defined cases: null and empty texts have no surprise and are kept. Texts of
 few characters get a threshold widened by the square root of their shortness.
-Without trusted documents, all are kept. Null and repeated ids are rows like
+Without trusted documents that training leaves, all are kept. Null and repeated ids are rows like
 any other; a label counts for all rows of its id.
 """
 
@@ -28,6 +30,7 @@ import operator
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from fieldloom.plans.storage import saved
 ORDER = 4
 TRAIN_DOCS = 2000
 LANGUAGES = 15
+#: One of this many trusted documents isn't trained on; languages with fewer than LEAST such texts have no limit of their own.
+HOLD, LEAST = 4, 20
 #: Quantiles of trusted documents beyond which a document is rejected, and what is always allowed.
 QUANTILE, REPEATS = 0.998, 0.25
 #: The limit lies this many times as far from the median as the quantile, so that clean documents stay.
@@ -180,23 +185,24 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
     return Model(uuid.uuid4().hex, order, sorted(by), spark.sparkContext.broadcast(by))
 
 
-_SCORE = pa.struct([("bits", pa.float64()), ("chars", pa.int64()), ("repeats", pa.float64())])
+_SCORE = pa.struct([("bits", pa.float64()), ("shared", pa.float64()), ("chars", pa.int64()), ("repeats", pa.float64())])
 
 
 def scored(model: Model, lang: Column, text: Column) -> Column:
-    """A struct of ``bits`` per character, ``chars`` and ``repeats``."""
+    """A struct of ``bits`` per character, the same under the model of all languages, ``chars`` and ``repeats``."""
 
-    @F.arrow_udf("bits double, chars long, repeats double")
+    @F.arrow_udf("bits double, shared double, chars long, repeats double")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for langs, texts in batches:
-            out = np.zeros((len(texts), 3))
+            out = np.zeros((len(texts), 4))
             for i in range(len(texts)):  # one text at a time is a string, not a whole batch
                 t = texts[i].as_py()
                 if t and model.languages:
                     x = langs[i].as_py()
-                    s = _surprise(model, x if x in model.languages else "")
-                    out[i] = s[gram_codes(t, model.order)].mean(), len(t), repeats(t)
-            yield pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int64)), pa.array(out[:, 2])], fields=list(_SCORE))
+                    g = gram_codes(t, model.order)
+                    shared = _surprise(model, "")[g].mean()
+                    out[i] = _surprise(model, x)[g].mean() if x in model.languages else shared, shared, len(t), repeats(t)
+            yield pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int64)), pa.array(out[:, 3])], fields=list(_SCORE))
 
     return run(F.coalesce(lang, F.lit("")), F.coalesce(text, F.lit("")))
 
@@ -204,7 +210,7 @@ def scored(model: Model, lang: Column, text: Column) -> Column:
 @dataclass
 class Classifier:
     model: Model
-    limits: DataFrame  # (lang, middle, top, most); lang "" holds for all others
+    limits: DataFrame  # (lang, middle, top, most); lang "" holds for all others, with the shared model
 
     def score(self, docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
         """Adds the struct ``scored`` to each row."""
@@ -212,12 +218,17 @@ class Classifier:
 
     def decide(self, rows: DataFrame, lang_col: str = "lang") -> DataFrame:
         """Turns the struct ``scored`` into ``quality``, with the limit and the decision."""
-        limits = F.broadcast(self.limits.select(F.col("lang").alias("__lang"), "middle", "top", "most"))  # one row per model
-        d = rows.withColumn("__key", _model_of(lang_col, self.model.languages)).join(limits, F.col("__key") == F.col("__lang"), "left")
+        names = ("middle", "top", "most")
+        own = F.broadcast(self.limits.where("lang <> ''").select(F.col("lang").alias("__lang"), *[F.col(c).alias(f"__{c}") for c in names]))  # one row per language
+        rest = F.broadcast(self.limits.where("lang = ''").select(*names))
+        d = rows.join(own, F.col(lang_col) == F.col("__lang"), "left").join(rest, F.lit(True), "left")
+        has = F.col("__lang").isNotNull()
+        middle, top, most = (F.when(has, F.col(f"__{c}")).otherwise(F.col(c)) for c in names)
+        bits = F.when(has, F.col("scored.bits")).otherwise(F.col("scored.shared"))
         wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SHORT)) / F.greatest(F.lit(1), F.col("scored.chars"))))
-        limit = F.col("middle") + MARGIN * (F.col("top") - F.col("middle")) * wide
-        kept = F.coalesce((F.col("scored.bits") <= limit) & ((F.col("scored.repeats") <= F.col("most")) | (F.col("scored.chars") < 20)), F.lit(True))
-        quality = F.struct(F.col("scored.bits").alias("bits"), F.col("scored.chars").alias("chars"), F.col("scored.repeats").alias("repeats"), limit.alias("limit"), kept.alias("kept"))
+        limit = middle + MARGIN * (top - middle) * wide
+        kept = F.coalesce((bits <= limit) & ((F.col("scored.repeats") <= most) | (F.col("scored.chars") < 20)), F.lit(True))
+        quality = F.struct(bits.alias("bits"), F.col("scored.chars").alias("chars"), F.col("scored.repeats").alias("repeats"), limit.alias("limit"), kept.alias("kept"))
         return d.select(*[rows[c] for c in rows.columns if c != "scored"], quality.alias("quality"))
 
 
@@ -232,27 +243,45 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_do
     Returns the classifier and ``(doc_id, lang, scored)`` of all rows, which the limits came from.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
-    meta = docs.select("doc_id", "lang").join(good, "doc_id")
-    own = meta.where("lang IS NOT NULL AND lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    key = _model_of("lang", [r["lang"] for r in own.collect()])
-    meta = meta.select("doc_id", key.alias("lang")).distinct()
+    language = F.coalesce("lang", F.lit("")).alias("lang")
+    long = F.length(F.coalesce("text", F.lit(""))) >= SHORT
+    meta = docs.select("doc_id", language, long.alias("long")).join(good, "doc_id").groupBy("doc_id", "lang").agg(F.max("long").alias("long"))
     least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = saved(meta.withColumn("no", F.row_number().over(least)).where(F.col("no") <= train_docs).select("doc_id", "lang"), "sample")
+    meta = saved(meta.withColumn("fit", F.row_number().over(least) % HOLD != 2), "trusted")
+    # a language has a model of its own only if that gets a limit from texts it has not seen
+    own = meta.where("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("long") & ~F.col("fit")).alias("held"))
+    own = own.where(F.col("held") >= LEAST).orderBy(F.desc("n"), "lang").limit(languages)
+    key = _model_of("lang", [r["lang"] for r in own.collect()])
+    within = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    fits = meta.where("fit").select("doc_id", key.alias("lang")).distinct().withColumn("no", F.row_number().over(within))
+    sample = saved(fits.where(F.col("no") <= train_docs).select("doc_id", "lang"), "sample")
     # bounded by train_docs for each of at most languages + 1 models
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("lang", "text")
     model = train(texts, order)
     rows = saved(docs.select("doc_id", "lang", scored(model, F.col("lang"), F.col("text")).alias("scored")), "scored")
-    # every trusted document but those that the model has seen; where it has seen all, those
+    # limits come from trusted documents that no model has seen
     seen = F.broadcast(sample.select("doc_id", F.lit(True).alias("seen")).distinct())
-    judged = rows.select("doc_id", _model_of("lang", model.languages).alias("lang"), "scored").join(good, "doc_id").join(seen, "doc_id", "left").where(f"scored.chars >= {SHORT}")
-    at = lambda q, w: F.percentile_approx(F.when(w, F.col("scored.bits")), q, 10000)
-    new, every = F.col("seen").isNull(), F.lit(True)
-    both = judged.unionByName(judged.where(F.col("lang") != "").withColumn("lang", F.lit("")))
-    limits = both.groupBy("lang").agg(
-        F.coalesce(at(0.5, new), at(0.5, every)).alias("middle"),
-        F.coalesce(at(quantile, new), at(quantile, every)).alias("top"),
-        F.greatest(F.lit(REPEATS), F.percentile_approx("scored.repeats", quantile, 10000)).alias("most"),
-    )
+    judged = rows.select("doc_id", language, "scored").join(good, "doc_id").join(seen, "doc_id", "left").where(f"scored.chars >= {SHORT}")
+    new = F.col("seen").isNull()
+    # with too few texts to have one beyond the quantile, it is taken from their mean and deviation
+    z = NormalDist().inv_cdf(quantile)
+
+    def limited(by: Column, bits: str) -> DataFrame:
+        x = F.when(new, F.col(bits))
+        at = lambda q: F.percentile_approx(x, q, 10000)
+        few = F.count(x) * (1 - quantile) < 1
+        top = F.when(few, F.greatest(at(quantile), F.avg(x) + z * F.coalesce(F.stddev(x), F.lit(0.0)))).otherwise(at(quantile))
+        most = F.greatest(F.lit(REPEATS), F.percentile_approx("scored.repeats", quantile, 10000))
+        return judged.groupBy(by.alias("lang")).agg(at(0.5).alias("middle"), top.alias("top"), most.alias("most"), F.count(x).alias("n"))
+
+    each = saved(limited(F.col("lang"), "scored.bits").where((F.col("n") >= LEAST) & (F.col("lang") != "")), "limits")
+    # all others: the limit of what they have together if that is enough, else that of all languages
+    has = F.broadcast(each.select(F.col("lang").alias("__lang")))
+    all_of_it = limited(F.lit(""), "scored.shared")
+    judged = judged.join(has, F.col("lang") == F.col("__lang"), "left_anti")
+    together = limited(F.lit(""), "scored.shared").where(F.col("n") >= LEAST)
+    rest = together.withColumn("first", F.lit(0)).unionByName(all_of_it.withColumn("first", F.lit(1))).orderBy("first").limit(1).drop("first")
+    limits = each.unionByName(rest).drop("n")
     return Classifier(model, saved(limits, "limits")), rows
 
 

@@ -179,6 +179,26 @@ def test_quality_tells_noise(spark):
     assert rows.count() == 0
 
 
+def test_quality_limits_of_languages(spark):
+    rng = random.Random(5)
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(120)] for x, a in (("en", "abcdefghi"), ("fr", "hijklmnop"), ("es", "opqrstuv"), ("de", "stuvwxyz"))}
+    text = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    noise = lambda n: "".join(rng.choice("%&#@$QXZ0123456789") for _ in range(n))
+    # many trusted; few; short ones only; enough for a limit but not for a model of its own
+    trusted = [("en", 120, 200), ("fr", 100, 6), ("es", 8, 100), ("de", 120, 150)]
+    docs = [(x, text(x, n), 1, True) for x, n, m in trusted for _ in range(m)]
+    docs += [(x, text(x, 120), 0, True) for x in ("en", "fr", "de") for _ in range(30)]
+    docs += [(x, noise(600), 0, False) for x in ("en", "fr", "es", "de", None) for _ in range(10)]
+    rows = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string, quality int, clean boolean")
+    c, got = quality.fit(rows, rows.select("doc_id", "quality"), languages=1)
+    assert {r["lang"] for r in c.limits.collect()} == {"en", "de", ""}
+    kept = {r["doc_id"]: r["quality"]["kept"] for r in c.decide(got).collect()}
+    assert not any(kept[i] for i, d in enumerate(docs) if not d[3])
+    for x in ("en", "fr", "de"):
+        mine = [kept[i] for i, d in enumerate(docs) if d[0] == x and d[3]]
+        assert sum(mine) >= 0.9 * len(mine), x
+
+
 def test_suffix_tree_against_brute_force(spark):
     rng = random.Random(3)
     texts = []
