@@ -19,7 +19,8 @@ of their own too. All others, and nulls, share one model trained on trusted
 text of any language, and one limit of that model's scores.
 
 Defined cases: null and empty texts have no surprise and are kept. Texts of
-few characters get a threshold widened by the square root of their shortness.
+fewer than ``SHORT`` characters get a limit farther from the median by the square
+root of ``SHORT`` / characters; for all others it is the quantile itself.
 Without trusted documents that training leaves, all are kept. Null and repeated ids are rows like
 any other; a label counts for all rows of its id.
 """
@@ -48,8 +49,6 @@ LANGUAGES = 15
 HOLD, LEAST = 4, 20
 #: Quantiles of trusted documents beyond which a document is rejected, and what is always allowed.
 QUANTILE, REPEATS = 0.998, 0.25
-#: The limit lies this many times as far from the median as the quantile, so that clean documents stay.
-MARGIN = 2.0
 #: Characters from which on the threshold holds as it is.
 SHORT = 400
 
@@ -226,7 +225,7 @@ class Classifier:
         middle, top, most = (F.when(has, F.col(f"__{c}")).otherwise(F.col(c)) for c in names)
         bits = F.when(has, F.col("scored.bits")).otherwise(F.col("scored.shared"))
         wide = F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SHORT)) / F.greatest(F.lit(1), F.col("scored.chars"))))
-        limit = middle + MARGIN * (top - middle) * wide
+        limit = middle + (top - middle) * wide
         kept = F.coalesce((bits <= limit) & ((F.col("scored.repeats") <= most) | (F.col("scored.chars") < 20)), F.lit(True))
         quality = F.struct(bits.alias("bits"), F.col("scored.chars").alias("chars"), F.col("scored.repeats").alias("repeats"), limit.alias("limit"), kept.alias("kept"))
         return d.select(*[rows[c] for c in rows.columns if c != "scored"], quality.alias("quality"))

@@ -192,7 +192,10 @@ def test_quality_limits_of_languages(spark):
     rows = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string, quality int, clean boolean")
     c, got = quality.fit(rows, rows.select("doc_id", "quality"), languages=1)
     assert {r["lang"] for r in c.limits.collect()} == {"en", "de", ""}
-    kept = {r["doc_id"]: r["quality"]["kept"] for r in c.decide(got).collect()}
+    judged = c.decide(got).collect()
+    tops = {r["lang"]: r["top"] for r in c.limits.collect()}
+    assert all(r["quality"]["limit"] == pytest.approx(tops.get(r["lang"], tops[""])) for r in judged if r["quality"]["chars"] >= quality.SHORT)
+    kept = {r["doc_id"]: r["quality"]["kept"] for r in judged}
     assert not any(kept[i] for i, d in enumerate(docs) if not d[3])
     for x in ("en", "fr", "de"):
         mine = [kept[i] for i, d in enumerate(docs) if d[0] == x and d[3]]
