@@ -5,7 +5,8 @@ is split until none has more than its share, so that lists are balanced. They
 are searched through an in-memory graph of near centroids. Each vector is
 posted under its nearest centroid and, near a boundary, under others whose
 distance is within ``REPLICATE`` of the nearest's. A query reads the lists
-whose centroids' distance is within a ratio of its nearest's. The ratio is
+whose centroids' distance is within a ratio of its nearest's, and the next nearest
+lists while these hold fewer than k candidates. The ratio is
 measured, not guessed: for a sample of queries the true neighbours are found
 by brute force against all rows, and the ratio is taken with which the lists
 that are read hold at least ``RECALL`` of them.
@@ -125,8 +126,8 @@ class Graph:
         o = np.argsort(d, axis=1, kind="stable")[:, :width]
         return np.take_along_axis(ids, o, 1), np.maximum(np.take_along_axis(d, o, 1), 0)
 
-    def within(self, x: np.ndarray, ratio: float) -> Iterator[np.ndarray]:
-        """For each row the centroids within ``ratio`` of the nearest's distance, spreading over the graph from the nearest."""
+    def within(self, x: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each row the centroids within ``ratio`` of the nearest's distance, spreading over the graph from the nearest; then the next nearest until they hold ``least`` rows."""
         near, d2 = self.beam(x)
         for i in range(len(x)):
             v = x[i]
@@ -142,7 +143,11 @@ class Graph:
                 d = (v @ v) + self.sq[new] - 2 * self.c[new] @ v
                 edge = new[d <= most]
                 found.append(edge)
-            yield np.concatenate(found)
+            out = np.concatenate(found)
+            if sizes[out].sum() < least:
+                order = np.argsort(self.sq - 2 * self.c @ v, kind="stable")
+                out = np.union1d(out, order[: np.searchsorted(np.cumsum(sizes[order]), least) + 1])
+            yield out
 
 
 def _posted(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
@@ -235,32 +240,37 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
 
     postings = saved(posted.mapInArrow(post, "list int, id long, v array<double>"), "postings")
     sizes = postings.groupBy("list").count().toPandas()  # at most CENTROIDS rows
+    held = np.zeros(len(graph.c), np.int64)
+    held[sizes["list"].to_numpy()] = sizes["count"].to_numpy()
     parts = np.ones(len(graph.c), np.int64)
     parts[sizes["list"].to_numpy()] = -(-sizes["count"].to_numpy() // CHUNK)
     tasks = max(8, int(-(-sizes["count"].sum() // TASK)))
     first = np.concatenate([[0], np.cumsum(parts)])
-    cut = spark.sparkContext.broadcast((parts, first))
+    cut = spark.sparkContext.broadcast((parts, first, held))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, first = cut.value
+        parts, first, _ = cut.value
         for b in batches:
             ls, ids = b["list"].to_numpy(), b["id"].to_numpy()
             piece = first[ls] + ids % parts[ls]
             yield pa.RecordBatch.from_arrays([pa.array((piece % tasks).astype(np.int32)), pa.array(np.zeros(len(ls), np.int32)), pa.array(piece), b["id"], b["v"], pa.nulls(len(ls), pa.list_(pa.int64()))], names=["task", "kind", "piece", "id", "v", "pieces"])
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, first = cut.value
-        for b in batches:
-            x = matrix(b["v"])
-            row, task, pieces = [], [], []
-            for i, ls in enumerate(sent.value.within(x, ratio)):
-                p = np.concatenate([np.arange(first[j], first[j + 1]) for j in ls])
-                for t in np.unique(p % tasks):
-                    row.append(i)
-                    task.append(t)
-                    pieces.append(p[p % tasks == t])
-            i = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.ones(len(row), np.int32)), pa.nulls(len(row), pa.int64()).fill_null(-1), b["id"].take(i), b["v"].take(i), pa.array(pieces, pa.list_(pa.int64()))], names=["task", "kind", "piece", "id", "v", "pieces"])
+    def ask(least: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, first, held = cut.value
+            for b in batches:
+                x = matrix(b["v"])
+                row, task, pieces = [], [], []
+                for i, ls in enumerate(sent.value.within(x, ratio, held, least)):
+                    p = np.concatenate([np.arange(first[j], first[j + 1]) for j in ls])
+                    for t in np.unique(p % tasks):
+                        row.append(i)
+                        task.append(t)
+                        pieces.append(p[p % tasks == t])
+                i = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.ones(len(row), np.int32)), pa.nulls(len(row), pa.int64()).fill_null(-1), b["id"].take(i), b["v"].take(i), pa.array(pieces, pa.list_(pa.int64()))], names=["task", "kind", "piece", "id", "v", "pieces"])
+
+        return run
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
         kind, ids, v = t["kind"].to_numpy(), t["id"].to_numpy(), matrix(t["v"])
@@ -295,10 +305,23 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ids[i])), pa.array(b), pa.array(d)], names=["query_id", "vec_id", "score"])
 
     kinds = "task int, kind int, piece long, id long, v array<double>, pieces array<long>"
-    dealt = postings.mapInArrow(deal, kinds).unionByName(queries.repartition(8, "id").mapInArrow(ask, kinds))
-    dealt = dealt.repartition(tasks, "task").sortWithinPartitions("task", "kind")
-    hits = dealt.mapInArrow(by_groups(("task",), compare), "query_id long, vec_id long, score double")
-    hits = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def answered(asking: DataFrame, least: int) -> DataFrame:
+        dealt = postings.mapInArrow(deal, kinds).unionByName(asking.repartition(8, "id").mapInArrow(ask(least), kinds))
+        dealt = dealt.repartition(tasks, "task").sortWithinPartitions("task", "kind")
+        out = dealt.mapInArrow(by_groups(("task",), compare), "query_id long, vec_id long, score double")
+        return saved(out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "hits")
+
+    least, every = REPLICAS * (k + 1), int(held.sum())  # a row stands in at most REPLICAS lists, and a query may be one itself
+    hits = answered(queries, least)
+    while least < every:
+        # rows that share an id are one candidate: queries still short of k read more, in the end all lists
+        full = hits.groupBy("query_id").count().where(F.col("count") >= k)
+        short = saved(queries.join(full, F.col("id") == F.col("query_id"), "left_anti"), "short")
+        if not short.limit(1).count():
+            break
+        least = min(every, least * 16)
+        hits = hits.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(answered(short, least))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     out = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score", F.lit(found).alias("measured_recall"), F.lit(ratio).alias("ratio"))

@@ -181,6 +181,16 @@ def test_posting_lists(spark, vectors):
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
 
 
+def test_posting_lists_read_on_to_k(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((1500, 16))
+    x[8] *= 20  # far from all, and a centroid itself
+    centroids = posting_lists.centroids_of
+    monkeypatch.setattr(posting_lists, "centroids_of", lambda v, k: np.concatenate([centroids(np.delete(x, 8, 0), k), x[8:9]]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in posting_lists.nearest(df, F.col("vec_id") % 8 == 0).collect())
+    assert got[8] == 10 and len(got) == 188 and set(got.values()) == {10}
+
+
 def test_nn_descent(spark, vectors):
     x, df = vectors
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
