@@ -13,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``rows`` rows, else as it is; for written tables, which are cheap to count."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def words_of(text: str | Column) -> Column:
     """Number of runs of anything but ASCII white space; null counts 0."""
     parts = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"[\x20\x09-\x0D]+")

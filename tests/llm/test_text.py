@@ -1,9 +1,9 @@
 """Near-duplicates, secrets, licenses, quality and scoring against brute force and on odd rows."""
 
-import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -150,14 +150,58 @@ def test_licenses_of_odd_rows(documents, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
-def test_model_is_a_distribution(spark):
+def kneser_ney(texts, order):
+    """Surprise of each character of a text, from dictionaries: interpolated modified Kneser-Ney."""
+    seq = lambda t: (0,) * (order - 1) + tuple(quality.symbols(t).tolist()) + (0,)
+    cut = lambda t: [seq(t)[i : i + order] for i in range(len(seq(t)) - order + 1)]
+    counts = {order: Counter(g for t in texts for g in cut(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off, total, back = {}, {}, {}
+    for n, c in counts.items():
+        k = Counter(c.values())
+        y = k[1] / max(1, k[1] + 2 * k[2])
+        off[n] = [max(quality.FLOOR, min(i, i - (i + 1) * y * k[i + 1] / max(1, k[i]))) for i in (1, 2, 3)]
+        total[n], back[n] = Counter(), Counter()
+        for g, x in c.items():
+            total[n][g[:-1]] += x
+            back[n][g[:-1]] += off[n][min(x, 3) - 1]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 2.0**-quality.BITS
+        h = g[:-1]
+        if not total[n][h]:
+            return p(g[1:])
+        x = counts[n][g]
+        return max(0.0, x - (off[n][min(x, 3) - 1] if x else 0)) / total[n][h] + back[n][h] / total[n][h] * p(g[1:])
+
+    return lambda t: sum(-math.log2(p(g)) for g in cut(t)) / len(cut(t))
+
+
+def test_quality_against_dictionaries(spark, monkeypatch):
     rng = random.Random(1)
-    text = ["".join(rng.choice("abc de.") for _ in range(400)) for _ in range(30)]
-    m = quality.train(spark.createDataFrame([("en" if i % 2 else "fr", t) for i, t in enumerate(text)], "lang string, text string"), order=3)
-    assert m.languages == ["", "en", "fr"]
-    for lang in m.languages:
-        p = 2.0 ** -quality._surprise(m, lang).astype(float).reshape(-1, quality.SYMBOLS)
-        assert p.min() > 0 and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    say = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    trusted = [("en" if i % 2 else "fr", say("abc de.é7Q" if i % 2 else "abxyzЖ中", rng.randrange(0, 60))) for i in range(30)]
+    model = quality.train(spark.createDataFrame(trusted, "model string, text string"), order=3)
+    asked = [(m, say("abcdxyz é9QЖ中\U0001f600", rng.randrange(0, 80))) for m in ("en", "fr", "") for _ in range(15)] + [("en", ""), ("en", "ab"), ("en", "ab"), ("fr", "ab" * 500)]
+    want = {m: kneser_ney([t for x, t in trusted if m in ("", x)], 3) for m in ("en", "fr", "")}
+    texts = spark.createDataFrame(asked, "model string, text string").withColumn("row", F.xxhash64("model", "text"))
+    numbers = {(r["model"], r["text"]): r["row"] for r in texts.collect()}
+    for sent, piece in ((quality.SENT_ROWS, quality.PIECE), (0, 7)):  # joins by broadcast and by shuffle; whole texts and pieces
+        monkeypatch.setattr(quality, "SENT_ROWS", sent)
+        monkeypatch.setattr(quality, "PIECE", piece)
+        got = {r["row"]: r for r in quality.score(model, texts).collect()}
+        assert len(got) == len(numbers)
+        for (m, t), row in numbers.items():
+            assert got[row]["bits"] == pytest.approx(want[m](t)) and got[row]["chars"] == len(t)
+
+
+def test_model_is_a_distribution():
+    rng = random.Random(3)
+    p = kneser_ney(["".join(rng.choice("abc") for _ in range(50)) for _ in range(5)], 3)
+    assert 1 < p("abcabc") < quality.BITS
 
 
 def test_quality_tells_noise(spark):
@@ -167,14 +211,18 @@ def test_quality_tells_noise(spark):
     noise = [(1000 + i, "en", " ".join("%&#" + rng.choice(vocabulary).upper() for _ in range(100))) for i in range(20)]
     same = [(2000 + i, "en", " ".join([rng.choice(vocabulary)] * 150)) for i in range(10)]
     odd = [(3000, None, None), (3001, "en", ""), (None, "xx", "the cat sat on the mat"), (3002, "en", "the")]
-    docs = spark.createDataFrame(good + noise + same + odd, "doc_id long, lang string, text string").withColumn("quality", F.lit("clash"))
+    docs = spark.createDataFrame(good + noise + same + odd, "doc_id long, lang string, text string")
+    for clash in ("quality", "scored", "middle", "top", "most", "model", "row", "bits", "kept", "language", "unseen"):
+        docs = docs.withColumn(clash, F.lit("clash"))
     labels = spark.createDataFrame([(i, 1) for i in range(150)] + [(1000, 0), (0, 1), (None, 1)], "doc_id long, quality int")
     c, rows = quality.fit(docs, labels, train_docs=60)
-    kept = {r["doc_id"]: r["quality"]["kept"] for r in c.decide(rows).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in c.decide(rows).collect()}
+    left = {r["doc_id"] for r in quality.kept_documents(docs, c.decide(rows)).collect()}
+    assert left == {i for i, k in kept.items() if k} and quality.kept_documents(docs, c.decide(rows)).columns == docs.columns
     assert len(kept) == docs.count() and not any(kept[i] for i, *_ in noise + same)
     assert sum(kept[i] for i, *_ in good) >= 198 and kept[3000] and kept[3001]
     c, rows = quality.fit(docs, labels.limit(0))
-    assert c.decide(rows).where("quality.kept").count() == docs.count()
+    assert c.decide(rows).where("kept").count() == docs.count()
     c, rows = quality.fit(docs.limit(0), labels)
     assert rows.count() == 0
 
@@ -184,18 +232,18 @@ def test_quality_limits_of_languages(spark):
     words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(120)] for x, a in (("en", "abcdefghi"), ("fr", "hijklmnop"), ("es", "opqrstuv"), ("de", "stuvwxyz"))}
     text = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
     noise = lambda n: "".join(rng.choice("%&#@$QXZ0123456789") for _ in range(n))
-    # many trusted; few; short ones only; enough for a limit but not for a model of its own
+    # many trusted; few; short ones only; many again
     trusted = [("en", 120, 200), ("fr", 100, 6), ("es", 8, 100), ("de", 120, 150)]
     docs = [(x, text(x, n), 1, True) for x, n, m in trusted for _ in range(m)]
     docs += [(x, text(x, 120), 0, True) for x in ("en", "fr", "de") for _ in range(30)]
     docs += [(x, noise(600), 0, False) for x in ("en", "fr", "es", "de", None) for _ in range(10)]
     rows = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, lang string, text string, quality int, clean boolean")
-    c, got = quality.fit(rows, rows.select("doc_id", "quality"), languages=1)
-    assert {r["lang"] for r in c.limits.collect()} == {"en", "de", ""}
+    c, got = quality.fit(rows, rows.select("doc_id", "quality"))
+    assert {r["model"] for r in c.limits.collect()} == {"en", "de", ""}
     judged = c.decide(got).collect()
-    tops = {r["lang"]: r["top"] for r in c.limits.collect()}
-    assert all(r["quality"]["limit"] == pytest.approx(tops.get(r["lang"], tops[""])) for r in judged if r["quality"]["chars"] >= quality.SHORT)
-    kept = {r["doc_id"]: r["quality"]["kept"] for r in judged}
+    tops = {r["model"]: r["top"] for r in c.limits.collect()}
+    assert all(r["limit"] == pytest.approx(tops.get(r["lang"], tops[""])) for r in judged if r["chars"] >= quality.SHORT)
+    kept = {r["doc_id"]: r["kept"] for r in judged}
     assert not any(kept[i] for i, d in enumerate(docs) if not d[3])
     for x in ("en", "fr", "de"):
         mine = [kept[i] for i, d in enumerate(docs) if d[0] == x and d[3]]
@@ -216,8 +264,6 @@ def test_suffix_tree_against_brute_force(spark):
     tree, words = suffix_tree.learn(docs.where("NOT held").select("text"), **kw)
     got = {r["doc_id"]: r for r in suffix_tree.score(docs, tree, words).collect()}
     # the same model from dictionaries
-    from collections import Counter
-
     toks = {i: [*t.lower().split(), None] for i, _, t in texts}
     count = Counter(w for i, held, _ in texts if not held for w in toks[i])
     n, v = sum(count.values()), len(count)
@@ -276,4 +322,3 @@ def test_suffix_tree_of_odd_rows(spark, documents, nothing):
 def test_digest_of_sets():
     a = np.sort(np.random.default_rng(0).integers(0, 2**63, 50, dtype=np.uint64))
     assert minhash.digest(a) == minhash.digest(a.copy()) != minhash.digest(a[1:])
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
