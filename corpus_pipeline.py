@@ -13,15 +13,15 @@ from fieldloom.llm.common import read
 from fieldloom.llm.minhash import near_duplicates
 from fieldloom.llm.mixing import mixed_documents
 from fieldloom.llm.packing import pack
-from fieldloom.llm.quality import fit
+from fieldloom.llm.quality import fit, kept_documents
 from fieldloom.llm.secrets import redact
 from fieldloom.plans.storage import release, saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    classifier, _ = fit(docs, read(spark, sf_dir, "labels"))
-    return classifier.decide(classifier.score(docs)).where("quality.kept").drop("quality")
+    classifier, scored = fit(docs, read(spark, sf_dir, "labels"))
+    return kept_documents(docs, classifier.decide(scored))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
