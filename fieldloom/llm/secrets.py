@@ -49,19 +49,28 @@ def _random_looking(s: str) -> bool:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= ENTROPY
 
 
-def _nearest(part: tuple[int, int], others: list[tuple[int, int, str]], longest: int, scope: int):
-    """The part of ``others`` (by start) with the smallest gap to ``part``, within ``scope``."""
-    best = None
-    i = bisect.bisect_left(others, (part[0] - longest - scope,))
-    while i < len(others) and others[i][0] <= part[1] + scope:
-        s, e, kind = others[i]
-        gap = max(s - part[1], part[0] - e, 0)
-        if gap <= scope and (s, e) != part and (best is None or gap < best[0]):
-            best = (gap, s, e, kind)
-        if best is not None and s - part[1] > best[0]:
-            break
-        i += 1
-    return best
+def _nearest(parts: list[tuple[int, int, str]], others: list[tuple[int, int, str]], scope: int) -> Iterator[tuple[tuple[int, int, str], tuple[int, int, str]]]:
+    """Each part, by start, with the other of the smallest gap to it if that is within ``scope``.
+
+    One sweep: of the others that start before a part only the one that
+    reaches farthest can be nearest, of those that start after it only the
+    first, and at its own start there is at most one of each kind.
+    """
+    i, far = 0, None
+    for part in sorted(parts):
+        while i < len(others) and others[i][0] < part[0]:
+            if far is None or others[i][1] > far[1]:
+                far = others[i]
+            i += 1
+        near, j = [far] if far else [], i
+        while j < len(others) and others[j][0] == part[0]:
+            near.append(others[j])
+            j += 1
+        near = [x for x in [*near, *others[j : j + 1]] if x[:2] != part[:2]]
+        gap = lambda x: max(x[0] - part[1], part[0] - x[1], 0)  # noqa: B023, E731
+        best = min(near, key=lambda x: (gap(x), x), default=None)
+        if best and gap(best) <= scope:
+            yield part, best
 
 
 def find(text: str, scope: int = SCOPE) -> list[tuple[str, int, int, int | None, int | None]]:
@@ -87,10 +96,7 @@ def find(text: str, scope: int = SCOPE) -> list[tuple[str, int, int, int | None,
         owners = sorted(access + users + ends)
         secrets = sorted(assign + hexes + opaque)
         for group, partners in ((opaque, owners), (users, secrets), (ends, secrets)):
-            longest = max((e - s for s, e, _ in partners), default=0)
-            for s, e, kind in group:
-                if near := _nearest((s, e), partners, longest, scope):
-                    out.append((kind, s, e, near[1], near[2]))
+            out += [(kind, s, e, near[0], near[1]) for (s, e, kind), near in _nearest(group, partners, scope)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

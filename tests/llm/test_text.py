@@ -120,6 +120,29 @@ def test_weak_parts_need_partners():
     assert secrets.redacted("a token=abcdefghijklmnop b") == "a [assign] b" and secrets.redacted("plain") == "plain"
 
 
+def test_nearest_partners_in_one_sweep():
+    rng = random.Random(7)
+    spans = lambda kind, n: [(at, at + rng.randrange(1, 60), kind) for at in sorted(rng.sample(range(4000), n))]
+    gap = lambda a, b: max(a[0] - b[1], b[0] - a[1], 0)
+    for n in (0, 1, 5, 40):
+        parts, others = spans("user", 40), sorted(spans("assign", n) + spans("hex", n))
+        got = {p: q for p, q in secrets._nearest(parts, others, 30)}
+        for p in parts:
+            want = min((gap(p, q) for q in others if q[:2] != p[:2]), default=math.inf)
+            assert (p in got) == (want <= 30) and (p not in got or gap(p, got[p]) == want)
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += 1
+            return super().__getitem__(i)
+
+    n = 20_000  # after a very long part, others are still looked at a few times each
+    list(secrets._nearest([(500_000 + 40 * i, 500_010 + 40 * i, "user") for i in range(n)], Counted([(0, 400_000, "hex")] + [(500_020 + 40 * i, 500_030 + 40 * i, "hex") for i in range(n)]), 200))
+    assert Counted.reads < 12 * n
+
+
 def test_secrets_of_odd_rows(documents, nothing):
     got = secrets.scan(documents).collect()
     assert len(got) == documents.count() and all(r["findings"] == [] for r in got)
