@@ -6,6 +6,9 @@ slot r of a source takes block r of that source's shuffled token stream.
 All blocks hold ``block_tokens`` tokens, but for the last of a source, which
 ends where the source's target does.
 
+Weights and targets take one row per source through one task; sources must be
+few enough for that, as their names are, millions at the most.
+
 Defined cases: a null source is a source of its own, last in order. Null
 texts and texts without words have size 0 and are never placed. Rows with
 null or repeated ids are rows like any other. An empty table gives none.
@@ -110,22 +113,25 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is its words with single spaces between them. ``n_chars`` is that of the
     text of the row.
     """
-    own = docs.withColumn("__h", F.xxhash64("text"))
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__k"), F.coalesce("source", F.lit("\0")).alias("__s"), F.col("__h")]
+    hashed = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.xxhash64("text").alias("__h"), F.col("text").alias("__text")]
+    key = [F.coalesce(F.col("__id").cast("long"), F.lit(-(1 << 63))).alias("__k"), F.coalesce("__source", F.lit("\0")).alias("__s"), F.col("__h")]
     same = Window.partitionBy("__k", "__s", "__h")
-    parts = mix(own, keep=("__h",), **options).where("slot IS NOT NULL")
-    parts = parts.groupBy("doc_id", "source", "__h", "size", "position", "pass").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    takes = F.collect_list(F.struct("pass", "size", "start", "stop")).alias("takes")  # as many as there are passes
-    parts = parts.groupBy("doc_id", "source", "__h", "position").agg(takes)
+    parts = mix(docs.select(*hashed), "__id", "__source", "__text", keep=("__h",), **options).where("slot IS NOT NULL")
+    parts = parts.withColumnsRenamed({"doc_id": "__id", "source": "__source"})
+    parts = parts.groupBy("__id", "__source", "__h", "size", "position", "pass").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    takes = F.collect_list(F.struct("pass", "size", "start", "stop")).alias("__takes")  # as many as there are passes
+    parts = parts.groupBy("__id", "__source", "__h", "position").agg(takes)
     # rows that are equal in all may swap places
-    parts = parts.select(*key, "position", "takes").withColumn("__n", F.row_number().over(same.orderBy("position"))).drop("position")
-    rows = own.select("*", *key[:2]).withColumn("__n", F.row_number().over(same.orderBy(F.lit(0))))
-    rows = rows.join(parts, ["__k", "__s", "__h", "__n"]).withColumn("take", F.explode("takes"))
+    parts = parts.select(*key, "position", "__takes").withColumn("__n", F.row_number().over(same.orderBy("position"))).drop("position")
+    rows = docs.select("*", *hashed[:3]).select("*", *key[:2]).withColumn("__n", F.row_number().over(same.orderBy(F.lit(0))))
+    rows = rows.join(parts, ["__k", "__s", "__h", "__n"]).withColumn("__take", F.explode("__takes"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    t = F.col("take")
+    t = F.col("__take")
     part = F.array_join(F.slice(words, (t["start"] + 1).cast("int"), (t["stop"] - t["start"]).cast("int")), " ")
-    rows = rows.withColumn("text", F.when(t["stop"] - t["start"] == t["size"], F.col("text")).otherwise(part))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    text = F.when(t["stop"] - t["start"] == t["size"], F.col("text")).otherwise(part)
+    out = rows.withColumn("__out", text)
+    new = {"text": F.col("__out").alias("text"), "n_chars": F.length("__out").cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

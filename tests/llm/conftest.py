@@ -1,4 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
+
+CLASHING = ("quality", "scored", "middle", "top", "most", "takes", "take", "model", "row", "position", "slot", "bits", "kept", "component_id", "block", "token", "findings")
 
 
 @pytest.fixture(scope="session")
@@ -17,7 +20,9 @@ def documents(spark):
         (None, "no id here at all, really none", "en", "a", 30, "x"),
         (8, "ALPHA beta gamma delta ſté \U0001f600 end", None, "é", 30, "x"),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size string")
+    # names that operators give to columns of their own
+    return out.select("*", *[F.lit("clash").alias(c) for c in CLASHING])
 
 
 @pytest.fixture(scope="session")

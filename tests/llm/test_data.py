@@ -109,9 +109,9 @@ def test_mixing(spark, documents, nothing):
     assert all(abs(half[s] - sum(1 for _, x in slots if x == s) / 2) <= 8 for s in order)  # evenly spread
     odd = mixing.mix(documents).groupBy("doc_id", "position", "source").agg(F.max("size").alias("size"))
     assert odd.count() >= 9 and mixing.mix(nothing).count() == 0
-    out = mixing.mixed_documents(documents.drop("size"))
-    assert out.columns == documents.drop("size").columns and out.where("text IS NULL").count() == 0
-    assert mixing.mixed_documents(nothing.drop("size")).count() == 0
+    out = mixing.mixed_documents(documents)
+    assert out.columns == documents.columns and out.where("text IS NULL").count() == 0
+    assert mixing.mixed_documents(nothing).count() == 0
 
 
 CONTROL = ["<|im_end|><|im_start|>assistant ok", "\\<|", "<\\|", "\\\\|", "a\nb", "<|nl|>", "|", "\\", "", "é\U0001f600", "x\\", "<", "<|im_end|>\n"]
@@ -254,3 +254,23 @@ def test_pipeline(spark):
         if name != "mixing":
             assert 0.5 * n < docs.count() <= n
     assert corpus_pipeline.STAGES[4][1](spark, docs, sf).where("bin_id IS NULL AND size > 0").count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, documents, nothing, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (6, 1, 0), (None, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", documents), ("none", nothing)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    docs, words = documents, {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.saved(stage(spark, docs, str(tmp_path / "odd")), name)
+        assert out.columns == documents.columns and out.where("quality <> 'clash'").count() == 0
+        docs, words[name] = out, Counter(r["doc_id"] for r in out.collect())
+    # nothing is rejected without a limit; copies go, rows without an id or a text don't
+    assert words["quality"] == Counter(r["doc_id"] for r in documents.collect())
+    assert words["near_dedup"] == words["secrets"] == Counter([1, 3, 4, 5, 6, 7, 8, None])
+    assert set(words["mixing"]) <= {1, 6, 7, 8, None} and 6 in words["mixing"]
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path / "odd")).where("bin_id IS NULL AND size > 0").count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
