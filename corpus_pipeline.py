@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; its result is written as Parquet and read again for the next.
+
+Defined cases: texts that are null or empty pass the first three stages and
+end at mixing, which takes words alone; null languages and sources are ones of
+their own; rows without an id stay. A row that is there several times, with id
+and text alike, stays once. Columns beyond those of ``documents`` pass all
+stages but the last, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    named = named.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    named = named.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.plans.storage import release, saved
@@ -28,17 +28,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         both = cur.select(*pair("u", "v")).unionAll(cur.select(*pair("v", "u")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = saved(small, "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # counted while it is written, so that a round is one job
+        seen = Observation()
+        nxt = saved(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
         release(cur)
         cur = nxt
-        if tuple(now) == mark:
+        now = seen.get
+        if now == mark:
             break
-        mark = tuple(now)
+        mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
