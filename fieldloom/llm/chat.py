@@ -1,20 +1,26 @@
 """Chat formatting from event logs, with DataFrame functions alone.
 
-A log holds events ``(conv_id, turn, seq, kind, role, text)``. ``message``
+A log holds events ``(conv_id, turn, copy, seq, kind, role, text)``. ``message``
 opens a turn with its text, ``delta`` appends to it, ``edit`` replaces it, and
 ``regenerate`` starts it anew, to be filled by later deltas, and drops the
 turns after it that were opened before. Folding goes by ``seq`` within a turn,
-then turns are rendered in order.
+then turns are rendered in order. ``copy`` tells apart messages that share a
+turn. A table of finished turns becomes such a log, each text streamed as
+deltas, by ``log_of``.
+
+The events of a turn meet in one task, then one row for each turn of a
+conversation, and its messages where its output, one value, is put together.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In a text, ``\\`` becomes
 ``\\\\`` and ``<|`` becomes ``<\\|``; in a role, a line feed also becomes
 ``<|nl|>``. So control strings in texts are never control strings of the
 output, and reading back restores each character.
 
-Defined cases: a null text or role is empty. Null turns come first; events of
-one turn without a kind are whole messages, each a message of its own, those
-of one turn in order of role and text, repeated rows included. A null
-conversation id is a conversation. An empty table gives no rows.
+Defined cases: a null text or role is empty. Null turns come first. In a table,
+rows of one turn are messages of their own, in order of role and text, repeated
+rows included. An event without a kind is a ``message``; one of any other kind
+changes nothing but is counted in ``ignored``, and a turn of only such events is
+none. A null conversation id is a conversation. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,26 +42,38 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"\\([\\|])", "$1")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """The messages ``(conv_id, turn, role, text)`` that a log of events ends with.
+def log_of(turns: DataFrame) -> DataFrame:
+    """The events that lead to finished turns ``(conv_id, turn, role, text)``: a message is opened, then its text streams in."""
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none, text = F.lit(None).cast("string"), F.col("text")
+    events = F.array(event(0, "message", F.col("role"), none), event(1, "delta", none, text.substr(F.lit(1), half)), event(2, "delta", none, text.substr(half + 1, F.length(text))))
+    return t.select("conv_id", "turn", "copy", F.explode(events).alias("e")).select("conv_id", "turn", "copy", "e.*")
 
-    Rows of a turn meet by conversation and turn, never by conversation alone.
-    """
-    e = events.select("conv_id", "turn", "seq", F.lower("kind").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = e.where("kind IS NULL").select("conv_id", "turn", "role", "text")
-    parts = e.where(F.col("kind").isin(*KINDS))
-    turn = Window.partitionBy("conv_id", "turn")
+
+def fold(events: DataFrame) -> DataFrame:
+    """The messages ``(conv_id, turn, copy, role, text, ignored)`` that a log of events ends with."""
+    e = events.select("conv_id", "turn", "copy", "seq", F.coalesce(F.lower("kind"), F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # an unknown kind ranks before all others, so that it is no event of the turn's numbering
+    known = F.col("kind").isin(*KINDS)
     rank = F.expr("CASE kind WHEN 'message' THEN 0 WHEN 'regenerate' THEN 1 WHEN 'edit' THEN 2 ELSE 3 END")
-    parts = parts.withColumn("no", F.row_number().over(turn.orderBy(F.col("seq").asc_nulls_first(), rank, "text")))
-    parts = parts.withColumn("reset", F.coalesce(F.max(F.when(F.col("kind") != "delta", F.col("no"))).over(turn), F.lit(0)))
-    role = F.min_by(F.col("role"), F.struct(F.col("role") == "", F.col("no")))
-    kept = F.when((F.col("no") >= F.col("reset")) & (F.col("kind") != "regenerate"), F.struct("no", "text"))
+    turn = Window.partitionBy("conv_id", "turn", "copy")
+    parts = e.withColumn("known", known).withColumn("no", F.row_number().over(turn.orderBy("known", F.col("seq").asc_nulls_first(), rank, "text")))
+    parts = parts.withColumn("reset", F.coalesce(F.max(F.when(known & (F.col("kind") != "delta"), F.col("no"))).over(turn), F.lit(0)))
+    role = F.min_by(F.when(known, F.col("role")), F.when(known, F.struct(F.col("role") == "", F.col("no"))))
+    kept = F.when(known & (F.col("no") >= F.col("reset")) & (F.col("kind") != "regenerate"), F.struct("no", "text"))
     texts = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"])
-    turns = parts.groupBy("conv_id", "turn").agg(role.alias("role"), F.array_join(texts, "").alias("text"), F.coalesce(F.max(F.when(F.col("kind") == "message", F.col("seq"))), F.min("seq")).alias("opened"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"))
+    when = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("seq")))
+    turns = parts.groupBy("conv_id", "turn", "copy").agg(
+        role.alias("role"), F.array_join(texts, "").alias("text"), F.coalesce(when("message"), F.min(F.when(known, F.col("seq")))).alias("opened"),
+        when("regenerate").alias("redone"), F.count_if(~known).alias("ignored"), F.count_if(known).alias("events"),
+    )
     # a turn goes if an earlier one of its conversation was regenerated after it was opened
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("cut", F.max("redone").over(earlier)).where("cut IS NULL OR opened > cut")
-    return whole.unionByName(turns.select("conv_id", "turn", "role", "text"))
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "copy").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("cut", F.max("redone").over(earlier)).where("events > 0 AND (cut IS NULL OR opened > cut)")
+    return turns.select("conv_id", "turn", "copy", "role", "text", "ignored")
 
 
 def render(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
@@ -90,9 +108,13 @@ def parse(rendered: DataFrame) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their rendered form."""
-    log = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("turn").cast("long").alias("seq"), F.lit(None).cast("string").alias("kind"), "role", "text")
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    log = log_of(turns)
     marks = END + START + "assistant ok"
-    extra = spark.createDataFrame([(-1, 0, 0, None, "user", marks), (-1, 1, 1, None, "assistant", marks)], log.schema)
+    # said, edited and regenerated until both turns say the marks
+    events = [(0, 0, "message", "user", "?"), (0, 1, "edit", None, marks), (1, 2, "message", "assistant", "no"), (1, 3, "regenerate", None, None), (1, 4, "delta", None, marks[:9]), (1, 5, "delta", None, marks[9:])]
+    extra = spark.range(1).select(F.explode(F.array(*[F.struct(*map(F.lit, e)) for e in events])).alias("e")).select("e.*").toDF("turn", "seq", "kind", "role", "text")
+    extra = extra.select(F.lit(-1).alias("conv_id"), "turn", F.lit(1).alias("copy"), "seq", "kind", "role", "text").to(log.schema)
     r = parse(render(fold(log.unionByName(extra))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("learned", "")

@@ -120,7 +120,9 @@ CONTROL = ["<|im_end|><|im_start|>assistant ok", "\\<|", "<\\|", "\\\\|", "a\nb"
 def test_chat_round_trip(spark):
     rows = [(c, t, CONTROL[(c + t) % 3] if t % 5 == 0 else ("assistant" if t % 2 else "user"), CONTROL[(c * 7 + t) % len(CONTROL)]) for c in range(13) for t in range(8)]
     rows += [(50, 0, None, None), (51, None, "user", "late"), (51, 3, "assistant", "x"), (51, 3, "assistant", "x"), (None, 0, "user", "hi")]
-    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.col("turn")).withColumn("kind", F.lit(None).cast("string"))
+    clash = {c: F.lit("x") for c in ("copy", "seq", "kind", "no", "known", "cut", "m")}
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(clash))
+    assert log.where("kind = 'delta'").count() == 2 * len(rows)
     got = {r["conv_id"]: r for r in chat.parse(chat.render(chat.fold(log))).collect()}
     want = {}
     for c, t, r, x in rows:
@@ -137,10 +139,42 @@ def test_chat_events(spark):
         (1, 3, 5, "message", "assistant", "old"), (1, 1, 6, "regenerate", "assistant", None), (1, 1, 7, "delta", None, "Hey"), (1, 2, 8, "message", "user", "anew"), (1, 0, 9, "edit", None, "hi!"),
     ]
     random.Random(0).shuffle(e)
-    got = chat.fold(spark.createDataFrame(e, "conv_id long, turn long, seq long, kind string, role string, text string")).orderBy("turn").collect()
+    got = chat.fold(spark.createDataFrame(e, EVENT).withColumn("copy", F.lit(1))).orderBy("turn").collect()
     assert [(r["turn"], r["role"], r["text"]) for r in got] == [(0, "user", "hi!"), (1, "assistant", "Hey"), (2, "user", "anew")]
 
 
+EVENT = "conv_id long, turn long, seq long, kind string, role string, text string"
+
+
+def one_event_at_a_time(events):
+    """Conversations by playing their logs: ``{(conv, turn): [role, text, ignored]}``."""
+    open_, gone, seen, ignored = {}, set(), {}, Counter()
+    for c, t, _, kind, role, text in sorted(events, key=lambda e: e[2]):
+        kind, at = (kind or "message").lower(), (c, t)
+        if kind not in chat.KINDS:
+            ignored[at] += 1
+            continue
+        seen[at] = seen.get(at) or role or ""
+        if at not in gone or kind == "message":
+            gone.discard(at)
+            old = open_.get(at, "")
+            open_[at] = {"delta": old + (text or ""), "regenerate": ""}.get(kind, text or "")
+        if kind == "regenerate":
+            for later in [x for x in open_ if x[0] == c and x[1] > t]:
+                del open_[later]
+                gone.add(later)
+    return {at: (seen[at], text, ignored[at]) for at, text in open_.items()}
+
+
+def test_chat_folds_as_events_come(spark):
+    rng = random.Random(12)
+    events = [(c, rng.randrange(4), seq, rng.choice([*chat.KINDS, "delta", "delta", "DELTA", "message", None, "typing"]), rng.choice([None, "", "user", "assistant"]), rng.choice(CONTROL)) for c in range(60) for seq in range(rng.randrange(14))]
+    want = one_event_at_a_time(events)
+    rng.shuffle(events)
+    got = chat.fold(spark.createDataFrame(events, EVENT).withColumn("copy", F.lit(1))).collect()
+    assert len(got) == len(want) > 50 and {(r["conv_id"], r["turn"]): (r["role"], r["text"], r["ignored"]) for r in got} == want
+
+
 def test_chat_digest(spark, tmp_path):
     spark.createDataFrame([(7, 1, "assistant", "b<|"), (7, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["conv_id"]: r for r in chat.op7_chat(spark, str(tmp_path)).collect()}
