@@ -36,8 +36,11 @@ def diffuse(values: DataFrame, edges: DataFrame, rate: float, iterations: int) -
     own = values.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(1.0 - rate).alias("w"))
     weighted = saved(weighted.unionByName(own), "weights")
     state = values
+    # a cell's few terms are summed in neighbour order, so that bits don't depend on partitions
+    terms = F.array_sort(F.collect_list(F.struct("dst", (F.col("w") * F.col("value")).alias("t"))))
+    moved = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x["t"]).alias("value")
     for i in range(int(iterations)):
-        state = weighted.join(state.select(F.col("cell_id").alias("dst"), "value"), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("value")).alias("value")).select(F.col("src").alias("cell_id"), "value")
+        state = weighted.join(state.select(F.col("cell_id").alias("dst"), "value"), "dst").groupBy("src").agg(moved).select(F.col("src").alias("cell_id"), "value")
         if (i + 1) % FUSED == 0 and i + 1 < iterations:
             state = saved(state, "diffuse")
     return state

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from fieldloom.plans.storage import saved
 
 
+#: Cells up to which a state is written as one document.
+SNAPSHOT_CELLS = 1_000_000
+
+
 class MeshError(ValueError):
     """The mesh breaks what an operator relies on."""
 
@@ -64,7 +68,9 @@ def vertex_areas(cells: DataFrame, triangles: DataFrame) -> DataFrame:
     cross = [F.col("by") * F.col("cz") - F.col("bz") * F.col("cy"), F.col("bz") * F.col("cx") - F.col("bx") * F.col("cz"), F.col("bx") * F.col("cy") - F.col("by") * F.col("cx")]
     volume = F.abs(sum(F.col(f"a{k}") * v for k, v in zip("xyz", cross, strict=True)))
     excess = 2 * F.atan2(volume, 1 + dot("a", "b") + dot("b", "c") + dot("c", "a"))
-    per = t.select(excess.alias("e"), F.explode(F.array("a", "b", "c")).alias("cell_id")).groupBy("cell_id").agg((F.sum("e") / 3).alias("area"))
+    per = t.select(excess.alias("e"), F.explode(F.array("a", "b", "c")).alias("cell_id")).groupBy("cell_id")
+    # a corner's few triangles in order of size, so that the sum's bits don't depend on partitions
+    per = per.agg((F.aggregate(F.array_sort(F.collect_list("e")), F.lit(0.0), lambda total, e: total + e) / 3).alias("area"))
     return cells.select("cell_id").join(per, "cell_id", "left").select("cell_id", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
@@ -126,13 +132,13 @@ def icosphere(spark: SparkSession, level: int) -> Mesh:
     n = 1 << level
     vertices, faces = base_icosahedron()
     f = spark.createDataFrame([(i, *t) for i, t in enumerate(faces)], "face int, a int, b int, c int")
-    base = spark.createDataFrame([(i, *p) for i, p in enumerate(vertices)], "v int, vx double, vy double, vz double")
     grid = f.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("j", F.explode(F.sequence(F.lit(0), n - F.col("i"))))
     weights = lambda i, j: F.array_sort(F.filter(F.array(F.struct(F.col("a").alias("v"), (n - i - j).alias("w")), F.struct(F.col("b").alias("v"), i.alias("w")), F.struct(F.col("c").alias("v"), j.alias("w"))), lambda x: x["w"] > 0))
     i, j = F.col("i"), F.col("j")
     points = grid.select(weights(i, j).alias("key")).distinct()
-    where = points.withColumn("p", F.explode("key")).join(F.broadcast(base), F.col("p.v") == F.col("v"))
-    where = where.groupBy("key").agg(*[F.sum(F.col("p.w") * F.col(f"v{k}")).alias(k) for k in "xyz"])
+    # summed in the order of the key, so that bits depend on nothing else
+    axis = lambda k: F.aggregate("key", F.lit(0.0), lambda total, p: total + p["w"] * F.element_at(F.array(*[F.lit(v[k]) for v in vertices]), p["v"] + 1))
+    where = points.select("key", *[axis(k).alias(c) for k, c in enumerate("xyz")])
     cells = saved(where.select((F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("cell_id"), "key", *unit()), "cells")  # at most 10,242 rows
     up = grid.where(i + j < n).select(weights(i, j).alias("ka"), weights(i + 1, j).alias("kb"), weights(i, j + 1).alias("kc"))
     down = grid.where(i + j < n - 1).select(weights(i + 1, j).alias("ka"), weights(i + 1, j + 1).alias("kb"), weights(i, j + 1).alias("kc"))
@@ -179,12 +185,14 @@ def read_snapshot(spark: SparkSession, path: str) -> dict:
 
 def write_snapshot(path: str, mesh: Mesh, fields: DataFrame, networks: dict[str, DataFrame] | None = None, parameters: dict[str, float] | None = None, step: int = 0, seed: int = 0) -> None:
     """The state as one JSON document, for meshes that a viewer can hold; larger ones go to ``write_tables``."""
+    if mesh.cells.limit(SNAPSHOT_CELLS + 1).count() > SNAPSHOT_CELLS:
+        raise MeshError(f"more than {SNAPSHOT_CELLS} cells are too many for one document; use write_tables")
     kinds = {"double": "Scalar", "boolean": "Bool", "bigint": "Category", "int": "Category"}
     cells = [list(r) for r in mesh.cells.orderBy("cell_id").select("x", "y", "z").collect()]
     near: list[list[int]] = [[] for _ in cells]
     for r in mesh.edges.orderBy("src", "ord").collect():
         near[r["src"]].append(r["dst"])
-    tri = [list(r) for r in mesh.triangles.select("a", "b", "c").collect()] if mesh.triangles is not None else []
+    tri = [list(r) for r in mesh.triangles.select("a", "b", "c").orderBy("a", "b", "c").collect()] if mesh.triangles is not None else []
     rows = fields.orderBy("cell_id").collect()
     out = {}
     for f in fields.schema.fields:
