@@ -212,9 +212,11 @@ def test_quality_against_dictionaries(spark, monkeypatch):
     want = {m: kneser_ney([t for x, t in trusted if m in ("", x)], 3) for m in ("en", "fr", "")}
     texts = spark.createDataFrame(asked, "model string, text string").withColumn("row", F.xxhash64("model", "text"))
     numbers = {(r["model"], r["text"]): r["row"] for r in texts.collect()}
+    whole = {t: np.concatenate(list(quality.grams(t, 3))).tolist() for _, t in asked}
     for sent, piece in ((quality.SENT_ROWS, quality.PIECE), (0, 7)):  # joins by broadcast and by shuffle; whole texts and pieces
         monkeypatch.setattr(quality, "SENT_ROWS", sent)
         monkeypatch.setattr(quality, "PIECE", piece)
+        assert all(np.concatenate(list(quality.grams(t, 3))).tolist() == g for t, g in whole.items())
         got = {r["row"]: r for r in quality.score(model, texts).collect()}
         assert len(got) == len(numbers)
         for (m, t), row in numbers.items():
@@ -284,8 +286,11 @@ def test_suffix_tree_against_brute_force(spark):
         texts.append((i, i % 7 == 2, " ".join(out).upper() if i % 2 else " ".join(out)))
     docs = spark.createDataFrame(texts, "doc_id long, held boolean, t string").select("doc_id", "held", F.col("t").cast("binary").alias("text"))
     kw = {"least": 0.01, "depth": 2, "divergence": 0.02, "strength": 5.0}
-    tree, words = suffix_tree.learn(docs.where("NOT held").select("text"), **kw)
-    got = {r["doc_id"]: r for r in suffix_tree.score(docs, tree, words).collect()}
+    alphabet, words = suffix_tree.alphabet_of(docs.where("NOT held"), kw["least"])
+    pages = suffix_tree.encode(docs.repartition(13, "doc_id").withColumn("learns", ~F.col("held")), alphabet, "learns", block_tokens=1)
+    assert pages.select("block").distinct().count() >= 4
+    tree = suffix_tree.learn(pages, alphabet, **kw)
+    got = {r["doc_id"]: r for r in suffix_tree.score(pages, tree, words).collect()}
     # the same model from dictionaries
     toks = {i: [*t.lower().split(), None] for i, _, t in texts}
     count = Counter(w for i, held, _ in texts if not held for w in toks[i])
@@ -332,14 +337,28 @@ def test_suffix_tree_against_brute_force(spark):
 
 
 def test_suffix_tree_of_odd_rows(spark, documents, nothing):
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    tree, words = suffix_tree.learn(texts.select("text"))
-    got = suffix_tree.score(texts, tree, words).collect()
+    texts = documents.withColumn("text", F.col("text").cast("binary")).withColumn("learns", F.lit(True))
+
+    def scores(rows, learnt):
+        alphabet, words = suffix_tree.alphabet_of(learnt)
+        pages = suffix_tree.encode(rows, alphabet, "learns")
+        return suffix_tree.score(pages, suffix_tree.learn(pages, alphabet), words).collect()
+
+    got = scores(texts, texts.withColumn("text", F.coalesce("text", F.lit(b""))))
     assert len(got) == documents.count() and all(math.isfinite(r["score"]) for r in got)
     assert {r["doc_id"]: r["n_tokens"] for r in got}[3] == 1
-    tree, words = suffix_tree.learn(texts.select("text").limit(0))
-    assert suffix_tree.score(texts.where("doc_id = 1"), tree, words).first()["n_known"] == 0
-    assert suffix_tree.score(texts.limit(0), tree, words).count() == 0
+    one = scores(texts.where("doc_id = 1").withColumn("learns", F.lit(False)), texts.limit(0))
+    assert one[0]["n_known"] == 0 and one[0]["score"] == one[0]["base_score"]
+    assert scores(texts.limit(0), texts.limit(0)) == []
+
+
+def test_slots():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 300, 50_000):
+        k = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        ask = np.concatenate([k, rng.integers(0, 1 << 48, 1000, dtype=np.uint64)])
+        want = {int(x): i for i, x in enumerate(k)}
+        assert suffix_tree.Slots(k).find(ask).tolist() == [want.get(int(x), -1) for x in ask]
 
 
 def test_digest_of_sets():
