@@ -120,7 +120,7 @@ class Slots:
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = keys
-        bits = max(8, int(4 * max(1, len(keys))).bit_length())
+        bits = max(8, int(2 * max(1, len(keys))).bit_length())
         self.shift = np.uint64(64 - bits)
         self.tables, left = [], np.arange(len(keys), dtype=np.int32)
         for odd in self._ODD:
@@ -301,10 +301,11 @@ def learn(pages: DataFrame, alphabet: Alphabet, least: float = LEAST, depth: int
                     yield from found.flush(GATHER)
             yield from found.flush()
 
-        rows = pages.mapInArrow(transitions, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")).withColumn("context", context)
+        rows = pages.mapInArrow(transitions, "key long, n long").withColumn("short", F.col("key").bitwiseAND(F.lit((1 << 16 * d) - 1)))
+        # tasks have counted already; dealt by the shorter transition once, counts are summed and meet their parents
+        rows = (rows if d == 1 else rows.repartition("short")).groupBy("short", "key").agg(F.sum("n").alias("c")).withColumn("context", context)
         rows = rows.join(F.broadcast(spark.createDataFrame(frequent, "context long, total long")), "context")  # fewer than 1 / least rows
-        short = F.col("key").bitwiseAND(F.lit((1 << 16 * d) - 1))
-        rows = saved(rows.withColumn("short", short).join(F.broadcast(parents) if d == 1 else parents, "short").select("key", "c", "total", "p"), "moves")  # at first bounded by the alphabet
+        rows = saved(rows.join(F.broadcast(parents) if d == 1 else parents, "short").select("key", "c", "total", "p"), "moves")  # at first bounded by the alphabet
         n, c, p = F.col("total"), F.col("c"), F.col("p")
         own = (c + strength * p) / (n + strength)
         gain = c * F.log2((c - 1 + strength * p) / (n - 1 + strength) / p)
@@ -366,7 +367,7 @@ def score(pages: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ..
                 new = [k for _, k, _ in _needed(slots, *_page(b, j))]
                 want += new
                 size += sum(map(len, new))
-                if size > 4 * BLOCK:  # repeats only cost their way
+                if size > GATHER:
                     want, size = [np.unique(np.concatenate(want))], 0
         yield from asks()
 
@@ -404,6 +405,8 @@ def score(pages: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ..
             out.append((np.diff(bounds), np.add.reduceat(known, bounds[:-1]), np.add.reduceat(base, bounds[:-1]), np.add.reduceat(lp, bounds[:-1])))
             ids.append([left[o][j].values for o in own])
         cols = [pa.concat_arrays(c) for c in zip(*ids, strict=True)] + [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+        del moves, slots, keys, lps, counts
+        pa.default_memory_pool().release_unused()  # a worker goes on to other tasks
         return pa.table(cols, names=[*id_cols, "n_tokens", "n_known", "base_score", "score"])
 
     both = texts.select("block", *own, "lens", "learns", "symbols", "rare").groupBy("block").cogroup(answers.unionByName(counted).groupBy("block"))
