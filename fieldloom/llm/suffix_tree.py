@@ -262,7 +262,7 @@ class Tree:
     alphabet: Alphabet
     rare: float  # probability of the symbol RARE at the root
     states: list  # by depth from 1: (contexts, log10 of the weight of the suffix's distribution)
-    moves: DataFrame  # (key, lp): log10 P(symbol | state) where counted
+    moves: DataFrame  # (key, lp): log10 P(symbol | state) where counted, in single precision
 
 
 #: Tell the depths of transitions apart; the first differ in their highest bits, where shorter contexts have none.
@@ -305,19 +305,19 @@ def learn(pages: DataFrame, alphabet: Alphabet, least: float = LEAST, depth: int
         # tasks have counted already; dealt by the shorter transition once, counts are summed and meet their parents
         rows = (rows if d == 1 else rows.repartition("short")).groupBy("short", "key").agg(F.sum("n").alias("c")).withColumn("context", context)
         rows = rows.join(F.broadcast(spark.createDataFrame(frequent, "context long, total long")), "context")  # fewer than 1 / least rows
-        rows = saved(rows.join(F.broadcast(parents) if d == 1 else parents, "short").select("key", "c", "total", "p"), "moves")  # at first bounded by the alphabet
-        n, c, p = F.col("total"), F.col("c"), F.col("p")
+        rows = saved(rows.join(F.broadcast(parents) if d == 1 else parents, "short").select("key", "c", "total", F.col("p").cast("float").alias("p")), "moves")  # at first bounded by the alphabet
+        n, c, p = F.col("total"), F.col("c"), F.col("p").cast("double")
         own = (c + strength * p) / (n + strength)
         gain = c * F.log2((c - 1 + strength * p) / (n - 1 + strength) / p)
         kept = rows.groupBy(context.alias("context"), "total").agg(F.sum(gain).alias("gain")).where(F.col("gain") >= divergence * F.col("total")).select("context", "total").toPandas()
         states.append((kept["context"].to_numpy(np.int64).view(np.uint64), np.log10(strength / (kept["total"].to_numpy(float) + strength))))
         mark = F.broadcast(spark.createDataFrame(kept[["context"]].assign(kept=True), "context long, kept boolean"))
         marked = rows.withColumn("context", context).join(mark, "context", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-        parents = marked.select(F.col("key").alias("short"), F.when(F.col("kept"), own).otherwise(p).alias("p"))
-        moves.append(marked.where("kept").select(F.col("key").bitwiseXOR(F.lit(_DEPTHS[d])).alias("key"), F.log10(own).alias("lp")))
+        parents = marked.select(F.col("key").alias("short"), F.when(F.col("kept"), own).otherwise(p).cast("float").alias("p"))
+        moves.append(marked.where("kept").select(F.col("key").bitwiseXOR(F.lit(_DEPTHS[d])).alias("key"), F.log10(own).cast("float").alias("lp")))
         # a context and its next symbol are a context of one more; its count is below that of its parts, which are contexts too
         frequent = rows.where((c > least * total) & (symbol != end)).select(F.col("key").alias("context"), c.alias("total")).toPandas()
-    table = spark.createDataFrame([], "key long, lp double")
+    table = spark.createDataFrame([], "key long, lp float")
     for m in moves:
         table = table.unionByName(m)
     return Tree(alphabet, rare, states, table)
@@ -372,19 +372,19 @@ def score(pages: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ..
         yield from asks()
 
     asked = texts.select("block", "lens", "learns", "symbols").mapInArrow(ask, "block long, key long")
-    answers = asked.join(tree.moves, "key").select("block", F.lit(-1).cast("long").alias("word"), "key", F.col("lp").alias("v"))
+    answers = asked.join(tree.moves, "key").select("block", F.lit(-1).cast("long").alias("word"), "key", "lp")
     rare = pages.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("at", "key"))
-    counted = rare.join(words, "key").select("block", (F.col("first") + F.col("at")).alias("word"), F.lit(0).cast("long").alias("key"), F.col("n").cast("double").alias("v"))
+    counted = rare.join(words, "key").select("block", (F.col("first") + F.col("at")).alias("word"), F.col("n").alias("key"), F.lit(0.0).cast("float").alias("lp"))
     own = [f"id{i}" for i in range(len(id_cols))]
 
     def answer(_, left: pa.Table, right: pa.Table) -> pa.Table:
         alphabet, rare, states = sent.value
-        word, v = right["word"].to_numpy(), right["v"].to_numpy()
+        word, key = right["word"].to_numpy(), right["key"].to_numpy()
         moved = word < 0
-        keys, lps = right["key"].to_numpy()[moved].view(np.uint64), v[moved]
+        keys, lps = key[moved].view(np.uint64), right["lp"].to_numpy()[moved].astype(float)
         moves, slots = Slots(keys), [Slots(c) for c, _ in states]
         counts = np.zeros(int(word.max(initial=-1)) + 1)
-        counts[word[~moved]] = v[~moved]
+        counts[word[~moved]] = key[~moved]
         often = np.concatenate([[0.0], np.log10(alphabet.base(alphabet.counts.astype(float)))])
         out, ids = [], []
         for j in range(left.num_rows):
@@ -398,14 +398,14 @@ def score(pages: DataFrame, tree: Tree, words: DataFrame, id_cols: tuple[str, ..
             known[low] = n > 0
             lp = base.copy()
             within = base - np.log10(rare)  # of a rare word among all rare ones
-            for (i, key, at), (_, weight) in zip(_needed(slots, s, bounds, learns), states, strict=True):
-                k = moves.find(key)
+            for (i, move, at), (_, weight) in zip(_needed(slots, s, bounds, learns), states, strict=True):
+                k = moves.find(move)
                 hit = k >= 0
                 lp[i] = np.where(hit, (lps[k] if len(lps) else 0.0) + np.where(s[i] == 0, within[i], 0), lp[i] + weight[at])
             out.append((np.diff(bounds), np.add.reduceat(known, bounds[:-1]), np.add.reduceat(base, bounds[:-1]), np.add.reduceat(lp, bounds[:-1])))
             ids.append([left[o][j].values for o in own])
         cols = [pa.concat_arrays(c) for c in zip(*ids, strict=True)] + [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-        del moves, slots, keys, lps, counts
+        del moves, slots, word, key, keys, lps, counts
         pa.default_memory_pool().release_unused()  # a worker goes on to other tasks
         return pa.table(cols, names=[*id_cols, "n_tokens", "n_known", "base_score", "score"])
 
