@@ -210,9 +210,14 @@ def test_posting_lists(spark, vectors):
         hit += len(set(want) & {v for v, _ in found})
         assert len(found) == 10 and all(s == pytest.approx(d[v], rel=1e-12) for v, s in found) and [s for _, s in found] == sorted(s for _, s in found)
     assert hit >= 0.9 * 10 * len(got)
+    assert {r["measured_recall"] for r in rows} == {rows[0]["measured_recall"]} and 0.8 <= rows[0]["measured_recall"] <= 1
     assert posting_lists.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
     few = posting_lists.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
-    assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3] and few[0]["measured_recall"] == 1
+    # rows that share an id are one candidate; vectors of another length take no part
+    some = [(0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 9.0]), (2, [0.0, 5.0]), (3, [1.0]), (0, [0.0, 7.0])]
+    odd = posting_lists.nearest(df.sparkSession.createDataFrame(some, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in odd] == [(1, 1.0), (2, 4.0)]
 
 
 def test_posting_lists_read_on_to_k(spark, monkeypatch):
