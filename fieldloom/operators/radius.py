@@ -44,6 +44,9 @@ def smooth_radius(cells: DataFrame, areas: DataFrame, values: DataFrame, radius:
     """``(cell_id, value)``: the mean over the ball, weighted by ``(1 - d2 / r2) ** 2`` and area, with the global mean kept."""
     if not (math.isfinite(radius) and radius >= 0):
         raise ValueError("radius must be finite and nonnegative")
+    v = F.col("value")
+    if values.where(v.isNull() | F.isnan(v) | (F.abs(v) == math.inf)).limit(1).count():
+        raise ValueError("the field must be finite")
     if radius == 0:
         return values
     w = F.pow(1 - F.least(F.col("d") * F.col("d") / (radius * radius), F.lit(1.0)), F.lit(2.0)) * F.col("area")

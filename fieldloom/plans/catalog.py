@@ -9,6 +9,7 @@ flow.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,10 @@ from fieldloom.operators import graph, radius
 from fieldloom.plans import compare as C
 from fieldloom.plans.compiler import compile_document
 from fieldloom.plans.execute import Results, World, advance, execute
-from fieldloom.plans.validate import compile_spec, edge_lengths, evaluate
-from fieldloom.sources.mesh import Mesh, chain, icosphere, ring, spiral
-from fieldloom.streaming.steps import events_of, perturb, regions
+from fieldloom.plans.storage import shared_dir
+from fieldloom.plans.validate import MASKED, compile_spec, edge_lengths, evaluate
+from fieldloom.sources.mesh import SNAPSHOT_CELLS, Mesh, base_icosahedron, chain, icosphere, read_snapshot, read_tables, ring, spiral, write_snapshot, write_tables
+from fieldloom.streaming.steps import EVENTS, events_of, follow, perturb, regions
 
 SEED = 42
 
@@ -214,6 +216,111 @@ def spherical_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, float(x)) for k, x in v.metrics.items()], "metric string, value double").select("metric", _r(F.col("value")).alias("value"))
 
 
+def mask_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """All mask metrics of values from 50 on, over Fibonacci points with equal areas."""
+    e = _events(spark, sf)
+    fields = e.select("cell_id", (F.col("value") >= 50).alias("high"))
+    v = evaluate(compile_spec("metrics: {" + ", ".join(f"{o}: {{op: {o}, field: high}}" for o in MASKED) + "}"), fields, _spiral(e.select("cell_id")))
+    return spark.createDataFrame([(k, float(x)) for k, x in v.metrics.items()], "metric string, value double").select("metric", _r(F.col("value")).alias("value"))
+
+
+def network_density(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    m = chain(e.select("cell_id"))
+    fields = e.select("cell_id", "value")
+    links = {"links": graph.network_threshold(fields, m.edges, 50.0)}
+    v = evaluate(compile_spec("metrics: {density: {op: network_density, network: links}}"), fields, m, links)
+    return spark.createDataFrame([(v.metrics["density"],)], "density double").select(_r(F.col("density")).alias("density"))
+
+
+#: Each expression function over ``x``, and the same in SQL over ``value``.
+_CALLS = {
+    "abs": ("abs(x - 50.0)", "abs(value - 50)"), "sqrt": ("sqrt(x)", "sqrt(value)"), "exp": ("exp(x * -0.01)", "exp(value * -0.01::DOUBLE)"), "log": ("log(x + 1.0)", "ln(value + 1)"),
+    "sin": ("sin(x)", "sin(value)"), "cos": ("cos(x)", "cos(value)"), "tan": ("tan(clamp(x * 0.001, 0, 1))", "tan(least(value * 0.001::DOUBLE, 1))"),
+    "asin": ("asin(clamp(x * 0.001, 0, 1))", "asin(least(value * 0.001::DOUBLE, 1))"), "acos": ("acos(clamp(x * 0.001, 0, 1))", "acos(least(value * 0.001::DOUBLE, 1))"), "atan": ("atan(x)", "atan(value)"),
+    "tanh": ("tanh(x * 0.01)", "tanh(value * 0.01::DOUBLE)"), "floor": ("floor(x)", "floor(value)"), "ceil": ("ceil(x)", "ceil(value)"), "pow": ("pow(x, 1.5)", "pow(value, 1.5::DOUBLE)"),
+    "atan2": ("atan2(x, 3.0)", "atan2(value, 3::DOUBLE)"), "min": ("min(x, 40.0)", "least(value, 40)"), "max": ("max(x, 40.0)", "greatest(value, 40)"), "clamp": ("clamp(x, 5, 90)", "least(greatest(value, 5), 90)"),
+    "int": ("int(x) / 2", "floor(value)::BIGINT // 2"), "double": ("double(int(x)) / 2.0", "floor(value) / 2"),
+    "choice": ("(x > 50.0 && x <= 90.0) || !(x >= 20.0) ? -x + x % 7.0 : (x - 1.0) / 4.0", "CASE WHEN value > 50 AND value <= 90 OR NOT value >= 20 THEN -value + value % 7::DOUBLE ELSE (value - 1) / 4 END"),
+    "equal": ("floor(x) == 3.0 || floor(x) != 5.0 && x < 9.0 ? 1.0 : 2.0", "CASE WHEN floor(value) = 3 OR floor(value) <> 5 AND value < 9 THEN 1 ELSE 2 END"),
+}
+
+
+def expression_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every function and operator of the expression language, one column for each."""
+    nodes = ", ".join(f"f{i}: {{op: pointwise, inputs: {{x: $input.value}}, expr: '{own}'}}" for i, (own, _) in enumerate(_CALLS.values()))
+    return program(spark, sf, nodes).fields.select("cell_id", *[_r(F.col(f"`f{i}.value`")).alias(f"r_{k}") for i, k in enumerate(_CALLS)])
+
+
+def position_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    c = compile_document("inputs: {position_x: scalar_field, position_y: scalar_field, position_z: scalar_field}\nprograms: {generate: {nodes: {out: {op: pointwise, inputs: {x: $input.position_x, y: $input.position_y, z: $input.position_z}, expr: x + 2.0 * y - z}}}}")
+    m = _spiral(e.select("cell_id"))
+    return execute(c.program, World(m, m.cells.select("cell_id"))).fields.select("cell_id", _r(F.col("`out.value`")).alias("value"))
+
+
+def component_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Each cell's component's area, where a cell's area is its value."""
+    mask, m = _mask(spark, sf, 50)
+    labels = graph.connected_components(mask, m.edges)
+    areas = _events(spark, sf).select("cell_id", F.col("value").alias("area"))
+    s = graph.component_summaries(labels, m.edges, m.edges.select("src", "dst", F.lit(1.0).alias("length")), areas)
+    return graph.measure_broadcast(labels, s, "area").select("cell_id", _r(F.col("value")).alias("area"))
+
+
+def iterate_until(spark: SparkSession, sf: str) -> DataFrame:
+    """A loop that ends at its cap and one that converges: rounds, last change and mean."""
+    e = _events(spark, sf).select("cell_id", "value")
+    edges = chain(e.select("cell_id")).edges
+    runs = {"cap": (lambda s: graph.diffuse(s, edges, 0.25, 1), 0.0, 3), "zero": (lambda s: s.select("cell_id", F.greatest(F.col("value") - 100, F.lit(0.0)).alias("value")), 0.0, 1000)}
+    out = None
+    for name, (move, tolerance, cap) in runs.items():
+        state, info = graph.iterate_until(e, move, tolerance, cap)
+        row = state.agg(F.lit(name).alias("loop"), F.lit(info["converged"]).alias("converged"), F.lit(info["iterations"]).cast("long").alias("iterations"), _r(F.lit(float(info["final_delta"]))).alias("final_delta"), _r(F.avg("value")).alias("mean"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def unchanged_outside(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields out of reach of a change of ``h``: ``k`` was touched at five cells, ``m`` nowhere."""
+    e = _events(spark, sf)
+    c = compile_document("programs: {step: {nodes: {a: {op: laplacian, args: {field: $state.h}}, b: {op: pointwise, inputs: {g: $state.g, a: $node.a.value}, expr: g + a}}, updates: {g: $node.b.value}}}")
+    v = F.col("value")
+    before = World(chain(e.select("cell_id")), e.select("cell_id", v.alias("h"), v.alias("g"), v.alias("k"), v.alias("m")))
+    after = perturb(before, events_of(spark, [C.Intervention("lift", "h", "field_add", 10.0, 100, 2)]))
+    other = advance(c.program, after).fields.withColumn("k", F.when(F.col("cell_id") < 5, F.col("k") + 1).otherwise(F.col("k")))
+    return C.unchanged_outside(advance(c.program, before).fields, other, c.program, {"h"})
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of events over one field, each applied before a step; the stream is started anew for the second."""
+    e = _events(spark, sf)
+    w = World(chain(e.select("cell_id")), e.select("cell_id", F.col("value").alias("h")))
+    c = compile_document("programs: {step: {nodes: {a: {op: laplacian, args: {field: $state.h}}, b: {op: pointwise, inputs: {h: $state.h, a: $node.a.value}, expr: h + 0.25 * a}}, updates: {h: $node.b.value}}}")
+    base = f"{shared_dir(spark)}/fieldloom/{uuid.uuid4().hex}-stream"
+    for i in (C.Intervention("warm", "h", "field_scale", 2.0, 100, 3), C.Intervention("lift", "h", "field_add", 10.0, 102, 2)):
+        events_of(spark, [i]).write.mode("append").parquet(f"{base}/events")
+        query, held = follow(spark.readStream.schema(EVENTS).parquet(f"{base}/events"), c.program, w, f"{base}/checkpoint")
+        query.processAllAvailable()
+        query.stop()
+    return held["world"].fields.select("cell_id", _r(F.col("h"), 9).alias("value"))
+
+
+def round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Values, positions and numbers of neighbours read back from a JSON snapshot, or from tables where it would be too large."""
+    e = _events(spark, sf).select("cell_id", "value")
+    m = chain(e.select("cell_id"))
+    path = f"{shared_dir(spark)}/fieldloom/{uuid.uuid4().hex}-state"
+    if e.count() <= SNAPSHOT_CELLS:
+        write_snapshot(f"{path}.json", m, e, step=3, seed=SEED)
+        back = read_snapshot(spark, f"{path}.json")
+        m, e = back["mesh"], back["fields"]
+    write_tables(path, m, e)
+    m, e = read_tables(spark, path, triangles=False)
+    degree = m.edges.groupBy(F.col("src").alias("cell_id")).agg(F.count("*").alias("neighbors"))
+    return e.join(m.cells, "cell_id").join(degree, "cell_id").select("cell_id", _r(F.col("value")).alias("value"), _r(F.col("x")).alias("x"), "neighbors")
+
+
 def recipe(spark: SparkSession, sf: str) -> DataFrame:
     """A recipe used twice, the second time on the first's result."""
     e = _events(spark, sf)
@@ -286,6 +393,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reduce_mean": mean_row("mean"), "reduce_sum": mean_row("sum"), "reduce_min": mean_row("min"), "reduce_max": mean_row("max"),
         "smooth_radius": smooth_radius, "correlated_noise": correlated_noise, "voronoi_labels": voronoi, "neighborhood_count": neighborhood_count,
         "score": score, "spherical_metrics": spherical_metrics, "icosphere": icosphere_summary, "recipe": recipe,
+        "mask_metrics": mask_metrics, "network_density": network_density, "expression_functions": expression_functions, "position_inputs": position_inputs, "component_area": component_area,
+        "iterate_until": iterate_until, "unchanged_outside": unchanged_outside, "event_stream": event_stream, "round_trip": round_trip,
         "perturb_hops": perturb_hops, "paired_delta": paired_delta, "step": step,
         "hop_regions": lambda s, sf: regions(events_of(s, [C.Intervention("a", "value", "field_add", 1.0, 500, 4)]), _mask(s, sf, 0)[1].edges).select("event_id", "cell_id"),
         "edge_lengths": lambda s, sf: edge_lengths(_spiral(_events(s, sf).select("cell_id"))).select("src", "dst", _r(F.col("length")).alias("length")),
@@ -348,6 +457,38 @@ def _passes(n: int, rate: float, ring_: bool) -> str:
     return ", ".join(out)
 
 
+def _mask_row(cells: str, perimeters: str) -> str:
+    """All mask metrics, one row each, from ``k(label, n, area)`` and ``q(label, per)``."""
+    one = {
+        "component_count": "count(*)", "largest_component_fraction": "max(n) / sum(n)", "area": "sum(area)", "area_fraction": f"sum(area) / (4 * {PI}::DOUBLE)", "perimeter": "sum(per)",
+        "largest_component_area_fraction": "max(area) / sum(area)", "largest_component_perimeter": "first(per ORDER BY n DESC, label DESC)", "component_area_mean": "avg(area)",
+        "component_area_variance": "var_pop(area)", "perimeter_area_ratio": "sum(per) / sqrt(sum(area))",
+    }
+    return f"k AS ({cells}), q AS ({perimeters}), j AS (SELECT k.*, coalesce(per, 0)::DOUBLE AS per FROM k LEFT JOIN q USING (label)) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {_round(f)} FROM j" for m, f in one.items())
+
+
+def _southern_half(level: int) -> str:
+    """Mask metrics of an icosphere's cells with y < 0, from lattice points and triangles of the twenty faces."""
+    vertices, faces = base_icosahedron()
+    n = 1 << level
+    v = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE, {z!r}::DOUBLE)" for i, (x, y, z) in enumerate(vertices))
+    f = ", ".join(str(t) for t in faces)
+    corner = lambda i, j: f"list_sort(list_filter([(a, {n} - ({i}) - ({j})), (b, {i}), (c, {j})], lambda p: p[2] > 0))"
+    return f"""WITH v(id, x, y, z) AS (VALUES {v}), f(a, b, c) AS (VALUES {f}),
+g AS (SELECT a, b, c, i, j FROM f, range({n + 1}) r(i), range({n + 1}) s(j) WHERE i + j <= {n}),
+t AS (SELECT {corner('i', 'j')} AS ka, {corner('i + 1', 'j')} AS kb, {corner('i', 'j + 1')} AS kc FROM g WHERE i + j < {n}
+  UNION ALL SELECT {corner('i + 1', 'j')}, {corner('i + 1', 'j + 1')}, {corner('i', 'j + 1')} FROM g WHERE i + j < {n - 1}),
+l AS (SELECT DISTINCT {corner('i', 'j')} AS key FROM g),
+o AS (SELECT key, sum(p[2] * v.x ORDER BY p[1]) AS x, sum(p[2] * v.y ORDER BY p[1]) AS y, sum(p[2] * v.z ORDER BY p[1]) AS z FROM (SELECT key, unnest(key) AS p FROM l) JOIN v ON v.id = p[1] GROUP BY key),
+u AS (SELECT key, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z, y < 0 AS low FROM o),
+w AS (SELECT ka, kb, kc, 2 * atan2(abs(a.x * (b.y * c.z - b.z * c.y) + a.y * (b.z * c.x - b.x * c.z) + a.z * (b.x * c.y - b.y * c.x)),
+  1 + a.x * b.x + a.y * b.y + a.z * b.z + b.x * c.x + b.y * c.y + b.z * c.z + c.x * a.x + c.y * a.y + c.z * a.z) AS e
+  FROM t JOIN u a ON a.key = ka JOIN u b ON b.key = kb JOIN u c ON c.key = kc),
+r AS (SELECT key, sum(e) / 3 AS area FROM (SELECT unnest([ka, kb, kc]) AS key, e FROM w) GROUP BY key),
+d AS (SELECT DISTINCT least(p, q) AS p, greatest(p, q) AS q FROM (SELECT ka AS p, kb AS q FROM t UNION ALL SELECT kb, kc FROM t UNION ALL SELECT kc, ka FROM t)),
+""" + _mask_row("SELECT 1 AS label, count(*) AS n, sum(area) AS area FROM r JOIN u USING (key) WHERE low", "SELECT 1 AS label, sum(acos(least(1.0::DOUBLE, a.x * b.x + a.y * b.y + a.z * b.z))) AS per FROM d JOIN u a ON a.key = p JOIN u b ON b.key = q WHERE a.low AND NOT b.low")
+
+
 _MEAN = "CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE (l + r) / 2 END"
 
 
@@ -398,6 +539,16 @@ def oracle_sql() -> dict[str, str]:
         "voronoi_labels": f"WITH {_ball('0', 0.3)}, k AS (SELECT *, row_number() OVER (ORDER BY sha256('{SEED}|6|plates|' || cell_id), cell_id) - 1 AS label FROM s) SELECT s.cell_id, first(k.label ORDER BY s.x * k.x + s.y * k.y + s.z * k.z DESC, k.label) AS value FROM s, k WHERE k.label < 12 GROUP BY s.cell_id",
         "neighborhood_count": f"WITH {_ball('0', 0.3)} SELECT count(*) AS n FROM b WHERE d < 0.4::DOUBLE",
         "score": f"WITH {_E}, {_islands(50)}, z AS (SELECT label, count(*) AS n FROM c WHERE label > 0 GROUP BY label), k AS (SELECT avg((value > 50)::INT::DOUBLE) AS above, avg(value) AS mean FROM e), j AS (SELECT max(n)::DOUBLE / sum(n) AS largest, count(*)::DOUBLE AS components FROM z) SELECT {_round('mean', 'mean')}, {_round('(SELECT var_pop(value) FROM e)', 'variance')}, {_round('(SELECT quantile_cont(value, 0.25) FROM e)', 'q25')}, {_round('(SELECT quantile_cont(value, 0.9) FROM e)', 'q90')}, {_round('above', 'above')}, {_round('(SELECT avg((value < 20)::INT::DOUBLE) FROM e)', 'below')}, {_round('(SELECT corr(value, value * value) FROM e)', 'correlation')}, components, {_round('largest', 'largest')}, {_round('(2 * above + 1 - largest) / 3', 'score')} FROM k, j",
+        "spherical_metrics": _southern_half(3),
+        "mask_metrics": f"WITH {_S}, {_islands(50)}, " + _mask_row(f"SELECT label, count(*) AS n, count(*) * 4 * {PI}::DOUBLE / (SELECT count(*) FROM c) AS area FROM c WHERE label > 0 GROUP BY label", "SELECT i.label, sum(d.len) AS per FROM d JOIN c i ON i.cell_id = d.cell_id JOIN c x ON x.cell_id = d.nid WHERE i.label > 0 AND x.label = 0 AND d.cell_id < d.nid GROUP BY i.label"),
+        "network_density": f"WITH {_N} SELECT {_round('count(*) FILTER (WHERE value >= 50 AND r >= 50)::DOUBLE / count(*)', 'density')} FROM n",
+        "expression_functions": f"WITH {_E} SELECT cell_id, " + ", ".join(_round(sql, f"r_{k}") for k, (_, sql) in _CALLS.items()) + " FROM e",
+        "position_inputs": f"WITH {_S} SELECT cell_id, {_round('x + 2 * y - z')} FROM p",
+        "component_area": f"WITH {_E}, {_islands(50)} SELECT cell_id, {_round('CASE WHEN label = 0 THEN 0 ELSE sum(value) OVER (PARTITION BY label) END', 'area')} FROM c JOIN e USING (cell_id)",
+        "iterate_until": f"WITH {_E}, s0 AS (SELECT cell_id, value AS v FROM e), {_passes(3, 0.25, False)} SELECT 'cap' AS loop, false AS converged, 3::BIGINT AS iterations, {_round('max(abs(s3.v - s2.v))', 'final_delta')}, {_round('avg(s3.v)', 'mean')} FROM s3 JOIN s2 USING (cell_id) UNION ALL SELECT 'zero', true, ceil(max(value) / 100)::BIGINT + 1, 0.0::DOUBLE, 0.0::DOUBLE FROM e",
+        "unchanged_outside": "SELECT 'k' AS field, count(*) FILTER (WHERE event_id < 5) AS changed_cells FROM events UNION ALL SELECT 'm', 0",
+        "event_stream": f"WITH {_E}, s0 AS (SELECT cell_id, CASE WHEN cell_id BETWEEN 97 AND 103 THEN 2 * value ELSE value END AS v FROM e), {_passes(1, 0.25, False)}, q0 AS (SELECT cell_id, CASE WHEN cell_id BETWEEN 100 AND 104 THEN v + 10 ELSE v END AS v FROM s1), {_passes(1, 0.25, False).replace('s0', 'q0').replace('s1', 'q1').replace('w0', 'x0')} SELECT cell_id, {_round('v', digits=9)} FROM q1",
+        "round_trip": f"WITH {_N} SELECT cell_id, {_round('value')}, {_round('cell_id', 'x')}, (l IS NOT NULL)::BIGINT + (r IS NOT NULL)::BIGINT AS neighbors FROM n",
         "icosphere": f"SELECT level, (10 * power(4, level) + 2)::BIGINT AS cells, 12::BIGINT AS fives, (10 * power(4, level) - 10)::BIGINT AS sixes, {_round(f'4 * {PI}', 'area')} FROM (SELECT unnest([0, 1, 2, 3])::BIGINT AS level)",
         "recipe": f"WITH {_E}, s0 AS (SELECT cell_id, value AS v FROM e), {_passes(1, 0.5, False)}, {_passes(1, 0.25, False).replace('s0', 'q0').replace('s1', 'q1').replace('w0', 'x0').replace('q0', 's1')} SELECT cell_id, {_round('v', digits=9)} FROM q1",
         "perturb_hops": f"WITH {_E}, {moved} SELECT cell_id, {_round('after')} FROM m",

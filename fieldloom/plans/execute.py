@@ -55,6 +55,8 @@ class Results:
 _KINDS = {"double": "scalar_field", "boolean": "bool_field"}
 GATHERS = {"neighbor_sample", "laplacian", "gradient", "divergence", "boundary_strength", "boundary_signed_difference", "boundary_normal_component", "boundary_tangential_component", "flow_direction", "advect"}
 LOOPS = {"diffuse", "distance_to_mask", "accumulate", "smooth_radius", "correlated_noise", "voronoi_labels", "network_threshold", "reduce"}
+#: Operators that rely on symmetric adjacency without repeats.
+MUTUAL = {"boundary_signed_difference", "network_threshold"}
 #: Gathers that look at positions.
 PLACED = {"gradient", "divergence", "boundary_signed_difference", "boundary_normal_component", "boundary_tangential_component", "advect"}
 
@@ -231,6 +233,8 @@ class _Run:
         return None
 
     def run(self, nodes: list[Step]) -> None:
+        if any(s.op in MUTUAL for s in nodes):
+            self.mesh.check()
         todo = list(nodes)
         while todo:
             ready = lambda s: all(r.kind != "node" or f"{r.name}.value" in self.wide.columns or r.name in self.scalars or r.name in self.networks for r in s.args.values())

@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.plans.storage import saved
+from fieldloom.plans.storage import release, saved
 
 
 #: Cells up to which a state is written as one document.
@@ -28,28 +28,47 @@ class Mesh:
     areas: DataFrame | None = None  # cell_id, area
 
     def calibrated(self) -> Mesh:
-        """The mesh with spherical vertex areas; equal shares of the sphere where there are no triangles."""
+        """The mesh with spherical vertex areas; equal shares of the sphere where no triangles are given.
+
+        Given triangles must join distinct cells off one plane through the
+        centre, and leave no cell without an area; else ``MeshError``.
+        """
         if self.areas is not None:
             return self
         if self.triangles is None:
             n = self.cells.count()
             return replace(self, areas=self.cells.select("cell_id", F.lit(4 * math.pi / max(n, 1)).alias("area")))
-        return replace(self, areas=saved(vertex_areas(self.cells, self.triangles), "areas"))
+        t = saved(excesses(self.cells, self.triangles), "excesses")
+        if t.where("excess IS NULL OR isnan(excess) OR NOT excess > 0 OR a = b OR b = c OR a = c").limit(1).count():
+            raise MeshError("a triangle is degenerate or names a cell that does not exist")
+        areas = saved(vertex_areas(self.cells, t), "areas")
+        release(t)
+        if areas.where("NOT area > 0").limit(1).count():
+            raise MeshError("a cell belongs to no triangle")
+        return replace(self, areas=areas)
 
     def check(self) -> None:
-        """Raise if adjacency is asymmetric, repeats or names cells that don't exist, or a position isn't finite."""
-        odd = self.cells.where(~(F.abs("x") < math.inf) | ~(F.abs("y") < math.inf) | ~(F.abs("z") < math.inf) | F.isnan("x") | F.isnan("y") | F.isnan("z") | F.col("x").isNull())
-        if odd.limit(1).count():
+        """Raise if adjacency is asymmetric, repeats or names cells that don't exist, or a position isn't finite.
+
+        A mesh that passed isn't looked at again.
+        """
+        if self.__dict__.get("_passed"):
+            return
+        odd = [F.col(k).isNull() | F.isnan(k) | (F.abs(k) == math.inf) for k in "xyz"]
+        if self.cells.where(odd[0] | odd[1] | odd[2]).limit(1).count():
             raise MeshError("a position is not finite")
-        e = self.edges
-        if e.where("src = dst").limit(1).count():
+        # both directions of a pair meet in one group, so one shuffle answers for all of them
+        pair = self.edges.groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(F.count_if(F.expr("src < dst")).alias("up"), F.count_if(F.expr("src > dst")).alias("down"))
+        found = pair.agg(F.count_if(F.expr("p = q")).alias("loops"), F.count_if(F.expr("up > 1 OR down > 1")).alias("again"), F.count_if(F.expr("up <> down")).alias("single")).first()
+        if found["loops"]:
             raise MeshError("a cell neighbours itself")
-        if e.groupBy("src", "dst").count().where("count > 1").limit(1).count():
+        if found["again"]:
             raise MeshError("a neighbour is repeated")
-        if e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_anti").limit(1).count():
+        if found["single"]:
             raise MeshError("adjacency is not symmetric")
-        if e.join(self.cells, e["dst"] == self.cells["cell_id"], "left_anti").limit(1).count():
+        if self.edges.join(self.cells, F.col("dst") == F.col("cell_id"), "left_anti").limit(1).count():
             raise MeshError("a neighbour does not exist")
+        object.__setattr__(self, "_passed", True)
 
 
 def unit(x: str = "x", y: str = "y", z: str = "z"):
@@ -57,18 +76,22 @@ def unit(x: str = "x", y: str = "y", z: str = "z"):
     return [(F.col(c) / n).alias(c) for c in (x, y, z)]
 
 
-def vertex_areas(cells: DataFrame, triangles: DataFrame) -> DataFrame:
-    """A third of each triangle's spherical excess to each corner."""
+def excesses(cells: DataFrame, triangles: DataFrame) -> DataFrame:
+    """``(a, b, c, excess)``: each triangle's spherical excess, null where it names a cell that doesn't exist."""
     u = cells.select("cell_id", *unit())
     t = triangles
     for corner in "abc":
         c = u.select(F.col("cell_id").alias(corner), *[F.col(k).alias(f"{corner}{k}") for k in "xyz"])
-        t = t.join(c, corner)
+        t = t.join(c, corner, "left")
     dot = lambda p, q: sum(F.col(f"{p}{k}") * F.col(f"{q}{k}") for k in "xyz")
     cross = [F.col("by") * F.col("cz") - F.col("bz") * F.col("cy"), F.col("bz") * F.col("cx") - F.col("bx") * F.col("cz"), F.col("bx") * F.col("cy") - F.col("by") * F.col("cx")]
     volume = F.abs(sum(F.col(f"a{k}") * v for k, v in zip("xyz", cross, strict=True)))
-    excess = 2 * F.atan2(volume, 1 + dot("a", "b") + dot("b", "c") + dot("c", "a"))
-    per = t.select(excess.alias("e"), F.explode(F.array("a", "b", "c")).alias("cell_id")).groupBy("cell_id")
+    return t.select("a", "b", "c", (2 * F.atan2(volume, 1 + dot("a", "b") + dot("b", "c") + dot("c", "a"))).alias("excess"))
+
+
+def vertex_areas(cells: DataFrame, triangles: DataFrame) -> DataFrame:
+    """A third of each triangle's ``excess`` to each corner."""
+    per = triangles.select(F.col("excess").alias("e"), F.explode(F.array("a", "b", "c")).alias("cell_id")).groupBy("cell_id")
     # a corner's few triangles in order of size, so that the sum's bits don't depend on partitions
     per = per.agg((F.aggregate(F.array_sort(F.collect_list("e")), F.lit(0.0), lambda total, e: total + e) / 3).alias("area"))
     return cells.select("cell_id").join(per, "cell_id", "left").select("cell_id", F.coalesce("area", F.lit(0.0)).alias("area"))
@@ -180,6 +203,7 @@ def read_snapshot(spark: SparkSession, path: str) -> dict:
                 value = F.struct(*[F.col("v")[i].alias(k) for i, k in enumerate("xyz")]) if kind == "Vector" else F.col("v")
                 fields = fields.join(one.select(F.col("cell_id").cast("long"), value.alias(name)), "cell_id", "left")
     networks = {n: raw.select(F.posexplode(F.col("networks")[n]["edges"]).alias("edge_idx", "e"), F.col("networks")[n]["values"].alias("vs")).select("edge_idx", F.col("e")[0].alias("src"), F.col("e")[1].alias("dst"), F.get("vs", "edge_idx").alias("value")) for n in head["n"] or []}
+    triangles = triangles if triangles.limit(1).count() else None
     return {"mesh": Mesh(cells, edges, triangles), "fields": fields, "networks": networks, "parameters": dict(head["parameters"] or {}), "step": head["step"], "seed": int(head["seed"] or 0)}
 
 

@@ -171,6 +171,24 @@ def test_icosphere(spark, sphere2):
         from_lists(spark, [X, Y], [[1], []]).check()
 
 
+def test_meshes_that_break_rules(spark):
+    flat, near = (1.0, 1.0, 0.0), [[1, 2], [0, 2], [0, 1]]
+    for positions, triangles in (([X, Y, flat], [(0, 1, 2)]), ([X, Y, Z], [(0, 1, 1)]), ([X, Y, Z], [(0, 1, 7)]), ([X, Y, Z, flat], [(0, 1, 2)])):
+        with pytest.raises(MeshError):
+            from_lists(spark, positions, [*near, []][: len(positions)], triangles).calibrated()
+    for neighbors in ([[0]], [[1, 1], [0, 0]], [[1], []], [[4]]):
+        with pytest.raises(MeshError):
+            from_lists(spark, [X, Y][: len(neighbors)], neighbors).check()
+    with pytest.raises(MeshError):
+        from_lists(spark, [X, (math.nan, 0.0, 0.0)], [[1], [0]]).check()
+    one_way = from_lists(spark, [X, Y], [[1], []])
+    with pytest.raises(MeshError):
+        run(spark, one_way, "out: {op: boundary_signed_difference, args: {labels: $input.l, values: $input.v}}", {"l": ("category_field", [1, 2], "long"), "v": ("scalar_field", [1.0, 2.0])})
+    whole = from_lists(spark, [X, Y, Z], near, [(0, 1, 2)]).calibrated()
+    with pytest.raises(ValueError):
+        radius.smooth_radius(whole.cells, whole.areas, field(spark, [1.0, math.inf, 2.0]), 0.5)
+
+
 def test_radius(spark, sphere2):
     n = sphere2.cells.count()
     flat = radius.smooth_radius(sphere2.cells, sphere2.areas, field(spark, [3.25] * n), 0.3)

@@ -1,5 +1,6 @@
 import json
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from fieldloom.plans.compiler import CompileError, compile_document
 from fieldloom.plans.execute import World, advance
 from fieldloom.plans.validate import MASKED, ValidationError, compile_spec, evaluate, judge, mask_metrics
 from fieldloom.sources.mesh import from_lists, icosphere, read_snapshot, read_tables, write_snapshot, write_tables
-from fieldloom.streaming.steps import EVENTS, events_of, follow, perturb
+from fieldloom.streaming.steps import EVENTS, Worlds, events_of, follow, perturb
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +124,27 @@ def test_stream(spark, tmp_path):
     assert held["world"].step == 1 and got == pytest.approx([0.25, 1.0, 2.75, 7.5, 4.75, 4.75])
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    w, program, src, ck = world(spark), compile_document(STEP).program, str(tmp_path / "in"), str(tmp_path / "ck")
+    lift = [events_of(spark, [Intervention("y", "h", "field_add", amount, 3, 0)]) for amount in (6.0, -2.0)]
+    for part in lift:
+        part.write.mode("append").parquet(src)
+        q, held = follow(spark.readStream.schema(EVENTS).parquet(src), program, w, ck)  # each time a new query from the same start
+        q.processAllAvailable()
+        q.stop()
+    want = w
+    for part in lift:
+        want = advance(program, perturb(want, part))
+    rows = lambda x: [tuple(r) for r in x.fields.select("cell_id", "h", "k").orderBy("cell_id").collect()]
+    assert held["world"].step == 2 and rows(held["world"]) == rows(want)
+    past = Worlds(w, ck + "/worlds")
+    assert past.epochs() == [0, 1] and rows(past.before(1)) == rows(advance(program, perturb(w, lift[0])))
+    again = past.keep(advance(program, perturb(past.before(1), lift[1])), 1)  # a batch that comes again
+    assert rows(again) == rows(want)
+    shutil.rmtree(ck + "/worlds/1/mark")  # a crash before the mark
+    assert past.epochs() == [0] and past.before(None).step == 1
+
+
 def test_search(spark):
     text = "parameters: {level: {default: 0.0, search: {min: 0, max: 1, mutation_sigma: 0.3}}}\nprograms: {generate: {nodes: {a: {op: constant, args: {value: $param.level}}}, updates: {f: $node.a.value}}}"
     c = compile_document(text)
