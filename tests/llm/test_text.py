@@ -163,10 +163,72 @@ def test_licenses():
     assert label("Copyright (c) 2020 Some Body. All rights reserved") == ["proprietary"]
     assert label("Copyright one two three four five six seven all rights reserved") == []
     a = licenses.Automaton("x", "start [[maybe [[deep]]]] {{2}} end")
+    either = licenses.Automaton("y", "one <<two|three four|[[five]] {{1}}>> six")
+    for text, end in (("one two six", 3), ("one three four six", 4), ("one three six", 3), ("one six", 2), ("one two three four six", None), ("one five x six", 4), ("one x y six", None)):
+        assert either.match(text.encode().split(), 0) == end, text
     ok = {"start end": 2, "start maybe end": 3, "start maybe deep end": 4, "start a b end": 4, "start a b c end": None, "start": None}
     assert {k: a.match(k.encode().split(), 0) for k in ok} == ok
 
 
+def spelled(wording, rng):
+    """Words that a template stands for, choosing at each markup, with where each comes from (None: free)."""
+    parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|<<|>>|\||[^\s\[\]{}<>|]+", wording)
+
+    def read(i, close):
+        sides = [[]]
+        while i < len(parts) and parts[i] != close:
+            if parts[i] == "[[":
+                inner, i = read(i + 1, "]]")
+                sides[-1] += inner if rng.random() < 0.5 else []
+            elif parts[i] == "<<":
+                inner, i = read(i + 1, ">>")
+                sides[-1] += inner
+            elif parts[i] == "|":
+                sides.append([])
+            elif parts[i][0] == "{":
+                sides[-1] += [f"any{k}" for k in range(rng.randint(0, int(parts[i][2:-2])))]
+            else:
+                sides[-1].append(parts[i])
+            i += 1
+        return rng.choice(sides), i
+
+    return read(0, None)[0]
+
+
+def test_license_templates_against_patterns():
+    """Every template on its own wording and on altered ones, against a regular expression tried at every length."""
+    rng = random.Random(5)
+    for label, wording in licenses.templates():
+        a = licenses.Automaton(label, wording)
+        turn = {"[[": "(?:", "]]": ")?", "<<": "(?:", ">>": ")", "|": "|"}
+        parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|<<|>>|\||[^\s\[\]{}<>|]+", wording)
+        pattern = re.compile("".join(turn.get(p) or (f"(?:[^ ]+ ){{0,{p[2:-2]}}}" if p[0] == "{" else re.escape(p) + " ") for p in parts))
+        for _ in range(3 if len(parts) < 60 else 1):
+            words = spelled(wording, rng)
+            text = [*words, "and", "more"]
+            k = rng.randrange(2, len(words))
+            for some in (text, text[:k] + ["altered"] + text[k + 1 :], text[:k] + text[k + 1 :], text[:k]):
+                want = next((n for n in range(len(some), 0, -1) if pattern.fullmatch(" ".join(some[:n]) + " ")), None)
+                assert a.match([w.encode() for w in some], 0) == want, (label, some)
+            assert a.match([w.encode() for w in text], 0) >= len(words)
+            found = licenses.inspect(" ".join(["x", *text]).encode())[2]
+            assert (1, a.match([w.encode() for w in text], 0), label) in [(s, e - 1, x) for s, e, x in found] and " ".join(words).encode().startswith(a.opening)
+
+
+def test_licenses_with_altered_conditions():
+    full = {}
+    for label, wording in licenses.templates():
+        full.setdefault(label, wording)
+    plain = lambda w: " ".join(spelled(re.sub(r"\{\{\d+\}\}", "the owner", w), random.Random(1)))
+    labels = lambda t: {m[2] for m in licenses.inspect(t.encode())[2]}
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense"):
+        assert labels(plain(full[name])) == {name}
+    assert labels(plain(full["mit"]).replace("without restriction", "with restrictions")) == set()
+    assert labels(plain(full["bsd-3-clause"]).replace("may be used to endorse", "can be used to endorse")) == set()
+    assert labels("Licensed under the GNU Affero General Public License, version 3") == {"agpl-3.0"}
+    assert labels("available under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License") == {"cc-by-nc-sa-4.0"}
+
+
 def test_licenses_of_odd_rows(documents, nothing):
     by = {r["doc_id"]: r for r in licenses.scan(documents).collect()}
     assert by[3]["n_words"] == by[4]["n_words"] == by[5]["n_words"] == 0 and by[6]["n_words"] == 30_000
