@@ -76,7 +76,7 @@ def compile_spec(text: str) -> Spec:
     for k, v in sorted((doc.get("objectives") or {}).items()):
         w = v.get("weight", 1.0) if isinstance(v, dict) else 1.0
         if not isinstance(w, (int, float)) or isinstance(w, bool) or not math.isfinite(w) or w < 0:
-            raise ValidationError("Spec", f"objectives.{k}.weight", "weight must be finite and nonnegative")
+            raise ValidationError("Spec", f"objectives.{k}.weight", "a weight is a number of at least 0")
         objectives[k] = (expression("objectives", k, v), float(w))
     return Spec(metrics, constraints, objectives)
 
@@ -95,7 +95,7 @@ def _metric(name: str, raw: object) -> Metric:
     def number(key: str) -> float:
         v = raw.get(key)
         if not isinstance(v, (int, float)) or isinstance(v, bool) or not math.isfinite(v):
-            raise ValidationError("Spec", f"{path}.{key}", "expected finite number")
+            raise ValidationError("Spec", f"{path}.{key}", f"{key} takes a number other than NaN and infinity")
         return float(v)
 
     if op in SCALAR:
