@@ -5,9 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from fieldloom.llm.chat import OP7_SQL, op7_chat
 from fieldloom.llm.licenses import op10_licenses
-from fieldloom.llm.minhash import op9_minhash
+from fieldloom.llm.minhash import OP9_SQL, op9_minhash
 from fieldloom.llm.mixing import op4_mixing
-from fieldloom.llm.nn_descent import op3_nn_descent
+from fieldloom.llm.nn_descent import OP3_SQL, op3_nn_descent
 from fieldloom.llm.packing import op1_packing
 from fieldloom.llm.posting_lists import op2_posting_lists
 from fieldloom.llm.quality import op6_quality
@@ -20,4 +20,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op3_nn_descent": OP3_SQL, "op7_chat": OP7_SQL, "op9_minhash": OP9_SQL}

@@ -306,3 +306,27 @@ def _joined(links: DataFrame, more: DataFrame, comps: DataFrame | None) -> tuple
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of each document."""
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: The same by brute force: rows of equal sets are classes, classes meet by each shingle, and all that is reached is listed.
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS items FROM words
+), classes AS MATERIALIZED (
+  SELECT items, row_number() OVER () AS class, min(doc_id) AS first_id FROM sets WHERE len(items) > 0 AND doc_id IS NOT NULL GROUP BY items
+), posts AS MATERIALIZED (
+  SELECT class, len(items) AS n, unnest(items) AS item FROM classes
+), links AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b FROM posts a JOIN posts b ON a.item = b.item AND a.class <> b.class
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT class AS a, class AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT r.a AS class, min(c.first_id) AS root FROM reach r JOIN classes c ON r.b = c.class GROUP BY r.a
+)
+SELECT s.doc_id, len(s.items)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, coalesce(coalesce(r.root, s.doc_id) = s.doc_id, false) AS kept
+FROM sets s LEFT JOIN classes c ON s.items = c.items AND s.doc_id IS NOT NULL LEFT JOIN roots r ON c.class = r.class
+"""

@@ -331,3 +331,20 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, components and survivors of all embeddings at a cosine of 0.95."""
     return near_duplicates(read(spark, sf_dir, "embeddings"), 0.95)
+
+
+#: The same by brute force, for tables whose ids are distinct; a search that found all links has a recall of 1.
+OP3_SQL = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON len(a.v) = len(b.v)
+  WHERE a.vec_id <> b.vec_id AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) END >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, r.root AS component_id, e.vec_id = r.root AS kept, 1::DOUBLE AS measured_recall
+FROM embeddings e JOIN roots r ON e.vec_id = r.a LEFT JOIN degrees d ON e.vec_id = d.a
+"""
