@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.components import connected_components as components
@@ -13,6 +14,8 @@ from fieldloom.plans.storage import release, saved
 
 #: Linear rounds that one plan holds before its state is written.
 FUSED = 6
+#: Hops that one plan walks, and tables of distances that stay apart.
+HOPS, PARTS = 4, 8
 
 
 class FieldError(ValueError):
@@ -47,18 +50,34 @@ def diffuse(values: DataFrame, edges: DataFrame, rate: float, iterations: int) -
 
 
 def distance_to_mask(mask: DataFrame, edges: DataFrame) -> DataFrame:
-    """Hops to the nearest true cell of ``(cell_id, value)``; 0 where none is reached."""
+    """Hops to the nearest true cell of ``(cell_id, value)``; 0 where none is reached.
+
+    A plan walks ``HOPS`` hops from the last frontier, and one job writes what it
+    reaches for the first time. A shortest path to a new cell leaves through the
+    frontier, so the shortest of the walks is its distance; walks that turn
+    back end at cells that were seen and are dropped.
+    """
     seen = saved(mask.where("value").select("cell_id", F.lit(0).alias("hops")), "seen")
-    frontier, hops = seen, 0
+    step, frontier, hops, parts = edges.select("src", "dst"), seen, 0, [seen]
     while True:
-        hops += 1
-        new = edges.join(frontier.select(F.col("cell_id").alias("src")), "src").select(F.col("dst").alias("cell_id")).distinct()
-        new = saved(new.join(seen, "cell_id", "left_anti").select("cell_id", F.lit(hops).alias("hops")), "frontier")
-        if not new.limit(1).count():
+        at, walks = frontier.select("cell_id"), []
+        for i in range(1, HOPS + 1):
+            at = step.join(at, F.col("src") == F.col("cell_id")).select(F.col("dst").alias("cell_id")).distinct()
+            walks.append(at.withColumn("hops", F.lit(hops + i)))
+        reached = reduce(DataFrame.unionByName, walks).groupBy("cell_id").agg(F.min("hops").alias("hops"))
+        found = Observation()
+        new = saved(reached.join(seen.select("cell_id"), "cell_id", "left_anti").observe(found, F.max("hops").alias("last")), "frontier")
+        hops += HOPS
+        parts.append(new)
+        if found.get.get("last") != hops:
             break
-        seen = saved(seen.unionByName(new), "seen") if hops % 8 == 0 else seen.unionByName(new)
-        frontier = new
-    return mask.select("cell_id").join(seen, "cell_id", "left").select("cell_id", F.coalesce("hops", F.lit(0)).cast("double").alias("value"))
+        frontier = new.where(F.col("hops") == hops)
+        if len(parts) > PARTS:
+            whole = saved(reduce(DataFrame.unionByName, parts), "seen")
+            release(*parts)
+            parts, frontier = [whole], whole.where(F.col("hops") == hops)
+        seen = reduce(DataFrame.unionByName, parts)
+    return mask.select("cell_id").join(reduce(DataFrame.unionByName, parts), "cell_id", "left").select("cell_id", F.coalesce("hops", F.lit(0)).cast("double").alias("value"))
 
 
 def accumulate(values: DataFrame, receivers: DataFrame) -> DataFrame:
@@ -69,26 +88,38 @@ def accumulate(values: DataFrame, receivers: DataFrame) -> DataFrame:
     n = values.count()
     if receivers.join(values.select(F.col("cell_id").alias("value")), "value", "left_anti").limit(1).count():
         raise FieldError("a receiver does not exist")
-    state = saved(values.join(receivers.select("cell_id", F.nullif(F.col("value"), F.col("cell_id")).alias("to")), "cell_id").select("cell_id", "value", "to"), "flow")
+
+    def written(flow: DataFrame) -> tuple[DataFrame, int]:
+        """The table, and how many still send, counted while it is written."""
+        seen = Observation()
+        out = saved(flow.observe(seen, F.count("to").alias("sending")), "flow")
+        return out, seen.get.get("sending") or 0
+
+    state, sending = written(values.join(receivers.select("cell_id", F.nullif(F.col("value"), F.col("cell_id")).alias("to")), "cell_id").select("cell_id", "value", "to"))
     for _ in range(max(1, math.ceil(math.log2(max(n, 2)))) + 1):
-        if not state.where("to IS NOT NULL").limit(1).count():
+        if not sending:
             return state.select("cell_id", "value")
         sent = state.where("to IS NOT NULL").groupBy(F.col("to").alias("cell_id")).agg(F.sum("value").alias("more"))
         further = state.where("to IS NOT NULL").select(F.col("cell_id").alias("mid"), F.col("to").alias("next"))
         nxt = state.join(sent, "cell_id", "left").join(further, F.col("to") == F.col("mid"), "left")
-        nxt = saved(nxt.select("cell_id", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"), F.col("next").alias("to")), "flow")
-        release(state)
-        state = nxt
+        old, (state, sending) = state, written(nxt.select("cell_id", (F.col("value") + F.coalesce("more", F.lit(0.0))).alias("value"), F.col("next").alias("to")))
+        release(old)
     raise FieldError("receivers form a cycle")
 
 
-def connected_components(mask: DataFrame, edges: DataFrame) -> DataFrame:
-    """True cells numbered by component from 1, components in order of their smallest cell; false cells 0."""
+def component_roots(mask: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(cell_id, root)`` of the true cells: the smallest cell of their component."""
     on = mask.where("value").select("cell_id")
     inside = edges.join(on.select(F.col("cell_id").alias("src")), "src", "left_semi").join(on.select(F.col("cell_id").alias("dst")), "dst", "left_semi")
     linked = components(inside.select("src", "dst"))
-    root = saved(on.join(linked, F.col("cell_id") == F.col("node"), "left").select("cell_id", F.coalesce("component", "cell_id").alias("root")), "roots")
-    number = dense_numbers(root.select("root").distinct(), "root")
+    return saved(on.join(linked, F.col("cell_id") == F.col("node"), "left").select("cell_id", F.coalesce("component", "cell_id").alias("root")), "roots")
+
+
+def connected_components(mask: DataFrame, edges: DataFrame) -> DataFrame:
+    """True cells numbered by component from 1, components in order of their smallest cell; false cells 0."""
+    root = component_roots(mask, edges)
+    # a component's root is a cell of it, and the only one that is its own root
+    number = dense_numbers(root.where("cell_id = root").select("root"), "root")
     named = root.join(number, "root").select("cell_id", F.col("number").alias("value"))
     return mask.select("cell_id").join(named, "cell_id", "left").select("cell_id", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 

@@ -12,7 +12,6 @@ from fieldloom.functions import cel
 from fieldloom.operators import graph
 from fieldloom.operators import vectors as V
 from fieldloom.plans.compiler import CompileError, load_yaml
-from fieldloom.plans.storage import saved
 from fieldloom.sources.mesh import Mesh
 
 
@@ -142,29 +141,30 @@ def scalar_metrics(fields: DataFrame, metrics: dict[str, Metric], cells: int | N
     return {name: float(row[f"m {name}"]) for name in metrics}
 
 
-def edge_lengths(mesh: Mesh) -> DataFrame:
-    """``(src, dst, length)`` along great circles."""
+def edge_lengths(mesh: Mesh, edges: DataFrame | None = None) -> DataFrame:
+    """``(src, dst, length)`` along great circles, of all edges or of those given, whose further columns stay."""
+    e = mesh.edges.select("src", "dst") if edges is None else edges
     end = lambda c, n: mesh.cells.select(F.col("cell_id").alias(c), F.struct("x", "y", "z").alias(n))
-    return mesh.edges.select("src", "dst").join(end("src", "p"), "src").join(end("dst", "q"), "dst").select("src", "dst", V.angle(F.col("p"), F.col("q")).alias("length"))
+    return e.join(end("src", "p"), "src").join(end("dst", "q"), "dst").select(*e.columns, V.angle(F.col("p"), F.col("q")).alias("length"))
 
 
 def mask_metrics(mask: DataFrame, mesh: Mesh, edges: str = "lower") -> dict[str, float]:
     """All metrics of a mask ``(cell_id, value)``, from one table of its components.
 
-    Of components whose areas agree to 12 digits, the one with the highest
-    label is the largest. ``edges``: "lower" counts a boundary edge for the true cell only if that
+    Of components whose areas agree to 12 digits, the one whose smallest cell
+    has the highest id is the largest. ``edges``: "lower" counts a boundary edge for the true cell only if that
     has the smaller id; "all" counts each, as component summaries do.
     """
     mesh.check()
     mesh = mesh.calibrated()
-    labels = saved(graph.connected_components(mask, mesh.edges), "labels")
-    cells = labels.join(mesh.areas, "cell_id").groupBy("value").agg(F.count("*").alias("cells"), F.sum("area").alias("area")).where("value > 0")
-    inside = labels.select(F.col("cell_id").alias("src"), F.col("value").alias("l"))
-    other = labels.select(F.col("cell_id").alias("dst"), (F.col("value") > 0).alias("r"))
-    cut = edge_lengths(mesh).join(inside, "src").join(other, "dst").where("l > 0 AND NOT r" + (" AND src < dst" if edges == "lower" else ""))
-    per = cut.groupBy(F.col("l").alias("value")).agg(F.sum("length").alias("perimeter"))
-    c = cells.join(per, "value", "left").select("value", "cells", "area", F.coalesce("perimeter", F.lit(0.0)).alias("perimeter"))
-    r = c.agg(F.count("*").alias("n"), F.sum("cells").alias("cells"), F.max("cells").alias("most"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.max("area").alias("largest"), F.max_by("perimeter", F.struct(F.round("area", 12), "value")).alias("around"), F.avg("area").alias("mean"), F.var_pop("area").alias("variance")).first()
+    roots = graph.component_roots(mask, mesh.edges)
+    cells = roots.join(mesh.areas, "cell_id").groupBy("root").agg(F.count("*").alias("cells"), F.sum("area").alias("area"))
+    # only edges from true to false cells get a length
+    cut = mesh.edges.select("src", "dst").where("src < dst") if edges == "lower" else mesh.edges.select("src", "dst")
+    cut = cut.join(roots.withColumnRenamed("cell_id", "src"), "src").join(roots.select(F.col("cell_id").alias("dst")), "dst", "left_anti")
+    per = edge_lengths(mesh, cut).groupBy("root").agg(F.sum("length").alias("perimeter"))
+    c = cells.join(per, "root", "left").select("root", "cells", "area", F.coalesce("perimeter", F.lit(0.0)).alias("perimeter"))
+    r = c.agg(F.count("*").alias("n"), F.sum("cells").alias("cells"), F.max("cells").alias("most"), F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.max("area").alias("largest"), F.max_by("perimeter", F.struct(F.round("area", 12), "root")).alias("around"), F.avg("area").alias("mean"), F.var_pop("area").alias("variance")).first()
     if not r["n"]:
         return dict.fromkeys(MASKED, 0.0)
     area, perimeter = r["area"], r["perimeter"]

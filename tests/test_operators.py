@@ -111,6 +111,9 @@ def test_graph(spark):
     assert values(graph.connected_components(mask, m.edges)) == [1, 1, 0, 2, 2, 0]
     assert values(graph.distance_to_mask(field(spark, [True] + [False] * 3, "boolean"), line(spark, 4).edges)) == [0, 1, 2, 3]
     assert values(graph.distance_to_mask(field(spark, [False] * 3, "boolean"), line(spark, 3).edges)) == [0, 0, 0]
+    # further than one plan walks, and through more tables than stay apart
+    n = graph.HOPS * (graph.PARTS + 3)
+    assert values(graph.distance_to_mask(field(spark, [True] + [False] * n, "boolean"), line(spark, n + 1).edges)) == list(range(n + 1))
     assert values(graph.accumulate(field(spark, [1.0, 2.0, 3.0]), field(spark, [1, 2, 2], "long"))) == [1, 3, 6]
     assert values(graph.accumulate(field(spark, [1.0, 2.0, 3.0, 4.0]), field(spark, [1, 3, 3, 3], "long"))) == [1, 3, 3, 10]
     with pytest.raises(graph.FieldError):
