@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -265,6 +266,12 @@ def test_nn_descent_links_groups_with_full_lists(spark):
     got = {r["vec_id"]: r for r in nn_descent.near_duplicates(df).collect()}
     assert all(got[i]["n_links"] == 59 and got[i]["component_id"] == 0 for i in range(60))
     assert sum(got[i]["kept"] for i in range(60)) == 1 and got[0]["measured_recall"] == 1.0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, v.tolist()] for i, v in enumerate(x)])
+    con.execute("INSERT INTO embeddings VALUES (900, NULL), (901, [0, 0]), (902, ['nan'::DOUBLE, 1]), (903, [NULL, 1]), (904, [1, 2])")
+    want = {r[0]: r for r in con.execute(nn_descent.OP3_SQL).fetchall()}
+    assert all(want[i] == tuple(got[i]) for i in range(len(x))) and all(want[i][1:4] == (0, i, True) for i in range(900, 905))
 
 
 def test_nn_descent_audit(spark, monkeypatch):

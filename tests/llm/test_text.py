@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,14 @@ def brute(rows):
     return {i: find(i) for i in ids}, sets
 
 
+def sql(query, documents):
+    """Sorted rows that the query gives over ``(doc_id, text)``."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    return sorted(con.execute(query).fetchall())
+
+
 def test_near_duplicates(spark):
     rng = random.Random(5)
     say = lambda n: [f"x{rng.randrange(5000)}" for _ in range(n)]
@@ -79,6 +88,7 @@ def test_near_duplicates(spark):
     want, sets = brute(data)
     got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sql(minhash.OP9_SQL, documents=data) == sorted(map(tuple, got))
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got)
 
 
@@ -90,6 +100,8 @@ def test_near_duplicates_of_odd_rows(documents, nothing):
     assert by[3]["n_shingles"] == by[4]["n_shingles"] == by[5]["n_shingles"] == 0 and by[3]["kept"] and by[7]["n_shingles"] == 1
     assert by[None]["component_id"] is None and not by[None]["kept"]
     assert minhash.near_duplicates(nothing).count() == 0
+    named = [tuple(r) for r in documents.select("doc_id", "text").where("doc_id IS NOT NULL").collect()]
+    assert sql(minhash.OP9_SQL, documents=named) == sorted(tuple(r) for r in got if r["doc_id"] is not None)
 
 
 BASE = (("assign", r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))
