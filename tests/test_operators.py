@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,19 @@ def test_components_of_edges(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_in_few_jobs(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(400)] + [(rng.randrange(-900, 900) * 7, rng.randrange(900) * 7) for _ in range(700)]
+    table = spark.createDataFrame(rng.sample(edges, len(edges)), "src long, dst long")
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    once = sorted(components(table).collect())
+    # planning the jobs of many rounds fills the driver's memory
+    assert jobs() - before <= 6
+    monkeypatch.setattr("fieldloom.operators.components.HELD", 0)
+    assert once == sorted(components(table).distinct().collect())
+
+
 def test_summaries(spark):
     m = from_lists(spark, [X, Y, Z], [[1], [0, 2], [1]], [(0, 1, 2)]).calibrated()
     s = graph.component_summaries(field(spark, [1, 0, 0], "long"), m.edges, edge_lengths(m), m.areas)
