@@ -223,6 +223,26 @@ def test_radius(spark, sphere2):
     assert m == pytest.approx(3) and s == pytest.approx(2)
 
 
+def test_ball_means_make_no_pairs(spark, monkeypatch):
+    """Cells crowded into few cubes, in several blocks, against brute force; as rows, the pairs would grow with their square."""
+    rng = random.Random(2)
+    p = [(rng.gauss(0, 0.2), rng.gauss(0, 0.2), 1.0) for _ in range(150)] + [(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(60)]
+    f, area = [rng.random() for _ in p], [0.5 + rng.random() for _ in p]
+    cells = spark.createDataFrame([(i, *x) for i, x in enumerate(p)], "cell_id long, x double, y double, z double")
+    areas = spark.createDataFrame(list(enumerate(area)), "cell_id long, area double")
+    monkeypatch.setattr(radius, "ball_pairs", None)
+    monkeypatch.setattr(radius, "BLOCK", 16, raising=False)
+    got = values(radius.smooth_radius(cells, areas, field(spark, f), 0.3))
+    u = [[c / math.hypot(*x) for c in x] for x in p]
+    mean = []
+    for i, a in enumerate(u):
+        d = [0.0 if i == j else math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(a, b))))) for j, b in enumerate(u)]
+        w = [(1 - (x / 0.3) ** 2) ** 2 * k if x <= 0.3 else 0.0 for x, k in zip(d, area)]
+        mean.append(sum(x * y for x, y in zip(w, f)) / sum(w))
+    shift = sum((x - y) * k for x, y, k in zip(f, mean, area)) / sum(area)
+    assert got == pytest.approx([x + shift for x in mean])
+
+
 def test_random_fields(spark, sphere2):
     noise = lambda seed: run(spark, sphere2, "out: {op: noise, args: {scale: 2}}", {}, seed=seed)
     a = noise(5)
